@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flockscore.plans.registry import Inputs
 from flockscore.schemas import HASHTAG, MENTION, SESSION, SOURCE_Q, URL
+from flockscore.sources.tweets import tweets_from_values
 
 AS_OF = datetime(2024, 1, 31)
 OLD_POSTS = 1_000_000_000_000
@@ -261,8 +262,9 @@ def both(spark: SparkSession, sf: str) -> Inputs:
     )
 
 
-def tweets(spark: SparkSession, sf: str) -> DataFrame:
-    """The stream as it comes over the wire: nested tweets."""
+def messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream as it comes over the wire: one JSON object per row."""
+
     def stamp(ts):
         return F.concat(F.lit("Mon "), F.date_format(ts, "MMM dd HH:mm:ss Z yyyy"))
 
@@ -316,7 +318,7 @@ def tweets(spark: SparkSession, sf: str) -> DataFrame:
         F.col("source").alias("full_name"),
         box.alias("bounding_box"),
     )
-    return e.select(
+    tweet = F.struct(
         number.alias("id"),
         stamp(F.col("ts")).alias("created_at"),
         "text",
@@ -351,3 +353,8 @@ def tweets(spark: SparkSession, sf: str) -> DataFrame:
             F.col("p.utcoffset").alias("utc_offset"),
         ).alias("user"),
     )
+    return e.select(F.to_json(tweet).alias("value"))
+
+
+def tweets(spark: SparkSession, sf: str) -> DataFrame:
+    return tweets_from_values(messages(spark, sf))

@@ -223,7 +223,7 @@ def validation_sample(
         .join(names, "user_id", "left")
         .select(
             F.concat(F.lit(PROFILE_URL), "screen_name").alias("userurl"),
-            F.format_number(F.round("botscore", 2), "0.00").alias("botscore"),
+            F.format_string("%.2f", F.round("botscore", 2)).alias("botscore"),
         )
         .distinct()
     )
