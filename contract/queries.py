@@ -636,28 +636,32 @@ def _has(*words: str) -> str:
     return "(" + " and ".join(tests) + ")"
 
 
-@query(
-    "admission_filter",
-    f"""select id, status_user_id, lang
-        from (select *, {_tokens} as tokens from posts)
-        where (status_user_id in ({", ".join(map(str, FOLLOW))})
-               or {" or ".join(_has(*phrase.split()) for phrase in TRACK)})
-              and lang <> 'und'""",
-)
-def _(spark, sf):
-    admitted = [
-        admit(
-            fx.posts(spark, sf),
-            follow=FOLLOW,
-            track=TRACK,
-            language=language,
-            author="status_user_id",
-            text="status_text",
-        )
-        for language in ("de", "en", "fr")
-    ]
-    found = admitted[0].unionByName(admitted[1]).unionByName(admitted[2])
-    return found.select("id", "status_user_id", "lang")
+ADMITTED = f"""select id, status_user_id, lang
+    from (select *, {_tokens} as tokens from posts)
+    where (status_user_id in ({", ".join(map(str, FOLLOW))})
+           or {" or ".join(_has(*phrase.split()) for phrase in TRACK)})"""
+
+
+def _admitted(spark, sf, language=None):
+    admitted = admit(
+        fx.posts(spark, sf),
+        follow=FOLLOW,
+        track=TRACK,
+        language=language,
+        author="status_user_id",
+        text="status_text",
+    )
+    return admitted.select("id", "status_user_id", "lang")
+
+
+@query("admission_filter", ADMITTED)
+def _(spark, sf):
+    return _admitted(spark, sf)
+
+
+@query("admission_filter_language", f"{ADMITTED} and lang = 'fr'")
+def _(spark, sf):
+    return _admitted(spark, sf, "fr")
 
 
 def _prepared(spark, sf):

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockscore.functions.words import TOKENS
+from flockscore.functions.words import whole_words
 from flockscore.schemas import CORRUPT, TWEET_JSON
 
 MAX_TRACK = 400
@@ -59,20 +60,16 @@ def tracks(text: Column, phrases: Sequence[str]) -> Column:
     Case does not matter. A plain term also matches as hashtag or mention; a
     term with ``#`` or ``@`` only matches as such.
     """
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKENS), F.lit(0))
-    plain = F.transform(tokens, lambda t: F.regexp_replace(t, "^[#@]", ""))
+    text = F.lower(text)
     terms = [phrase.lower().split() for phrase in phrases]
-    single = [words[0] for words in terms if len(words) == 1]
     found = F.lit(False)
-    known = F.array_union(tokens, plain)
+    single = [words[0] for words in terms if len(words) == 1]
     if single:
-        found = F.arrays_overlap(known, F.array(*map(F.lit, single)))
+        found = text.rlike(whole_words(single))
     for words in terms:
         if len(words) > 1:
-            every = F.lit(True)
-            for word in words:
-                every = every & F.array_contains(known, word)
-            found = found | every
+            every = [text.rlike(whole_words([word])) for word in words]
+            found = found | reduce(Column.__and__, every)
     return F.coalesce(found, F.lit(False))
 
 
