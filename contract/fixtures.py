@@ -20,12 +20,30 @@ AS_OF = datetime(2024, 1, 31)
 OLD_POSTS = 1_000_000_000_000
 
 
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, "
+    "c_acctbal double, c_mktsegment string",
+    "documents": "doc_id bigint, text string, lang string, source string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, "
+    "event_type string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "pages": "page_id bigint, url string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    casts = {
-        c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"
-    }
-    return df.withColumns(casts) if casts else df
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
+    for column, kind in df.dtypes:
+        if kind == "timestamp_ntz":
+            df = df.withColumn(column, F.col(column).cast("timestamp"))
+    return df
+
+
+def _spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """A table in fewer files than there are cores, dealt over all cores."""
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def _with_row_of(
@@ -39,12 +57,15 @@ def _with_row_of(
     return numbered.drop("_size").join(other, key)
 
 
-def posts(spark: SparkSession, sf: str) -> DataFrame:
-    """The live stream."""
+def posts(spark: SparkSession, sf: str, *, spread: bool = False) -> DataFrame:
+    """The live stream; ``spread`` for queries that work on the texts."""
     documents = table(spark, sf, "documents").select(
         "doc_id", "text", "lang", F.col("source").alias("doc_source")
     )
-    e = _with_row_of(table(spark, sf, "events"), documents, "doc_id", "event_id")
+    events = table(spark, sf, "events")
+    if spread:
+        events = _spread(spark, events, "event_id")
+    e = _with_row_of(events, documents, "doc_id", "event_id")
     number = F.col("event_id")
     mention = F.array(
         F.expr(
@@ -272,7 +293,8 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "text", F.col("lang").alias("doc_lang"), "source"
     )
     pages = table(spark, sf, "pages").select("page_id", "url")
-    e = _with_row_of(table(spark, sf, "events"), documents, "doc_id", "event_id")
+    events = _spread(spark, table(spark, sf, "events"), "event_id")
+    e = _with_row_of(events, documents, "doc_id", "event_id")
     e = _with_row_of(e, pages, "page_id", "event_id")
     profiles = accounts(spark, sf).select(
         F.col("id").alias("user_id"), F.struct("*").alias("p")

@@ -75,9 +75,16 @@ def kpi(source: str, doubles: str = "botscore", others: str = "userid") -> str:
     return inner.replace("select ", "select kpiname, ", 1)
 
 
-def _bots(spark: SparkSession, totals: DataFrame, name: str) -> DataFrame:
-    """The bot list as a written table, as the reports want it."""
-    return materialise(sc.bots(totals).select("userid"), run_dir(spark, name))
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _bots(spark: SparkSession, sf: str, name: str, totals: Query) -> DataFrame:
+    """The bot list as a written table; all reports of a session share it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _written:
+        found = sc.bots(totals(spark, sf)).select("userid")
+        _written[key] = materialise(found, run_dir(spark, name))
+    return _written[key]
 
 
 def _stage1_total(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,11 +98,11 @@ def _stage2_total(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bots1(spark: SparkSession, sf: str) -> DataFrame:
-    return _bots(spark, _stage1_total(spark, sf), "bots1")
+    return _bots(spark, sf, "bots1", _stage1_total)
 
 
 def _bots2(spark: SparkSession, sf: str) -> DataFrame:
-    return _bots(spark, _stage2_total(spark, sf), "bots2")
+    return _bots(spark, sf, "bots2", _stage2_total)
 
 
 def _listed(spark: SparkSession, sf: str) -> DataFrame:
@@ -498,7 +505,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return texts.topic_text(
-        fx.posts(spark, sf),
+        fx.posts(spark, sf, spread=True),
         fx.session(spark),
         _bots1(spark, sf),
         max_chars=200_000,
@@ -507,7 +514,7 @@ def _(spark, sf):
 
 @query("challenge_text_bounded", sql.bounded_text("listed_posts", "", 2_000_000))
 def _(spark, sf):
-    return texts.challenge_text(fx.posts(spark, sf), fx.challenge(spark, sf))
+    return texts.challenge_text(fx.posts(spark, sf, spread=True), fx.challenge(spark, sf))
 
 
 @query(
@@ -518,21 +525,21 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return texts.tagged_bot_posts(
-        fx.posts(spark, sf), fx.challenge(spark, sf), tag="gameinsight"
+        fx.posts(spark, sf, spread=True), fx.challenge(spark, sf), tag="gameinsight"
     )
 
 
 @query("term_frequencies", sql.TOPIC_TERMS)
 def _(spark, sf):
     posts = texts.topic_posts(
-        fx.posts(spark, sf), fx.session(spark), _bots1(spark, sf)
+        fx.posts(spark, sf, spread=True), fx.session(spark), _bots1(spark, sf)
     )
     return texts.term_frequencies(posts, stopwords=WORDS)
 
 
 @query("term_frequencies_followers", sql.FOLLOWER_TERMS)
 def _(spark, sf):
-    posts = texts.challenge_posts(fx.posts(spark, sf), fx.challenge(spark, sf))
+    posts = texts.challenge_posts(fx.posts(spark, sf, spread=True), fx.challenge(spark, sf))
     return texts.term_frequencies(
         posts,
         ["is_bot"],
@@ -644,7 +651,7 @@ ADMITTED = f"""select id, status_user_id, lang
 
 def _admitted(spark, sf, language=None):
     admitted = admit(
-        fx.posts(spark, sf),
+        fx.posts(spark, sf, spread=True),
         follow=FOLLOW,
         track=TRACK,
         language=language,

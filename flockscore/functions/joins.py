@@ -33,6 +33,7 @@ def spread_join(
     spread_by: list[str],
     how: str = "inner",
     also_on: tuple[str, ...] = (),
+    keys_of: DataFrame | None = None,
     share: int = HOT_SHARE,
     spread: int = SPREAD,
 ) -> DataFrame:
@@ -40,9 +41,10 @@ def spread_join(
 
     The rows of a hot key are dealt over ``spread`` tasks by the hash of
     ``spread_by`` (columns that tell the rows of one key apart) and only the
-    matching rows of ``right`` are repeated. All other keys join as usual.
+    matching rows of ``right`` are repeated. All other keys join as usual. Hot
+    keys are counted in ``keys_of``, by default in ``left`` itself.
     """
-    hot = F.broadcast(hot_keys(left, key, share))
+    hot = F.broadcast(hot_keys(left if keys_of is None else keys_of, key, share))
     deal = F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("int")
     dealt = left.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot") | F.col(key).isNull(), deal).otherwise(0)

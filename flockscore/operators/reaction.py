@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,19 @@ def kpi_reactiontime(
         *(["userid"] if self_only else []),
         F.unix_micros("local_at").alias("parent_at"),
     )
+    answered = reduce(
+        DataFrame.unionByName,
+        [
+            status.select(F.col("in_reply_to_status_id").alias("parent_id"))
+            for status, _ in datasets
+        ],
+    )
     gaps = spread_join(
         replies,
         parents,
         "parent_id",
         spread_by=["reply_id"],
+        keys_of=answered.where(F.col("parent_id") > 0),
         also_on=("userid",) if self_only else (),
     ).withColumn("gap", F.col("reply_at") - F.col("parent_at"))
     facts = gaps.groupBy("userid").agg(
