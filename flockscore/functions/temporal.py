@@ -44,4 +44,4 @@ def calendar_age_days(ts: Column, as_of: Column) -> Column:
     )
     whole = F.floor(months / 12) * 365.25 + months % 12 * 30 + days
     age = whole + (micros + day_short * DAY_MICROS) / float(DAY_MICROS)
-    return F.when(ts > as_of, -age).otherwise(age)
+    return F.when(ts > as_of, -age).when(ts.isNotNull(), age)
