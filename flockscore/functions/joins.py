@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1_000
+HOT_KEYS = 1_000
 SPREAD = 64
 LOOKUP_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than 1/``share`` of the rows.
+def count_rows() -> Column:
+    return F.count(F.lit(1))
+
+
+def hot_keys(df: DataFrame, key: str, n: int = HOT_KEYS) -> DataFrame:
+    """The ``n`` most frequent keys, flagged ``_hot``.
 
-    There can be fewer than ``share`` of them, whatever the data, so the result
-    is always safe to broadcast.
+    Any other key holds less than 1/``n`` of the rows, whatever the data, and
+    ``n`` rows are always safe to broadcast.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
     return (
-        counts.crossJoin(F.broadcast(total))
-        .where((F.col("_n") * share > F.col("_total")) & F.col(key).isNotNull())
+        df.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(count_rows().alias("_n"))
+        .orderBy(F.desc("_n"), key)
+        .limit(n)
         .select(key, F.lit(True).alias("_hot"))
     )
 
@@ -34,25 +39,25 @@ def spread_join(
     how: str = "inner",
     also_on: tuple[str, ...] = (),
     keys_of: DataFrame | None = None,
-    share: int = HOT_SHARE,
+    hot: int = HOT_KEYS,
     spread: int = SPREAD,
 ) -> DataFrame:
     """Join on ``key`` where single keys may hold much of ``left``.
 
-    The rows of a hot key are dealt over ``spread`` tasks by the hash of
+    The rows of the most frequent keys are dealt over ``spread`` tasks by the hash of
     ``spread_by`` (columns that tell the rows of one key apart) and only the
-    matching rows of ``right`` are repeated. All other keys join as usual. Hot
-    keys are counted in ``keys_of``, by default in ``left`` itself.
+    matching rows of ``right`` are repeated. All other keys join as usual. Keys
+    are counted in ``keys_of``, by default in ``left`` itself.
     """
-    hot = F.broadcast(hot_keys(left if keys_of is None else keys_of, key, share))
+    flagged = F.broadcast(hot_keys(left if keys_of is None else keys_of, key, hot))
     deal = F.pmod(F.xxhash64(*spread_by), F.lit(spread)).cast("int")
-    dealt = left.join(hot, key, "left").withColumn(
+    dealt = left.join(flagged, key, "left").withColumn(
         "_salt", F.when(F.col("_hot") | F.col(key).isNull(), deal).otherwise(0)
     )
     copies = F.when(
         F.col("_hot"), F.sequence(F.lit(0), F.lit(spread - 1))
     ).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies))
+    repeated = right.join(flagged, key, "left").withColumn("_salt", F.explode(copies))
     return dealt.drop("_hot").join(
         repeated.drop("_hot"), [key, *also_on, "_salt"], how
     ).drop("_salt")
@@ -80,7 +85,3 @@ def lookup_join(
     if is_small(lookup, max_rows):
         return facts.join(F.broadcast(lookup), key, how)
     return spread_join(facts, lookup, key, spread_by=spread_by, how=how)
-
-
-def count_rows() -> Column:
-    return F.count(F.lit(1))

@@ -8,15 +8,10 @@ from pyspark.sql import functions as F
 DAY_MICROS = 86_400_000_000
 
 
-def seconds_between(later: Column, earlier: Column) -> Column:
-    """Seconds with their fraction; ``timestampdiff`` would cut it off."""
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / 1e6
-
-
 def local_time(ts: Column, offset_seconds: Column) -> Column:
     """Wall clock of the author; null where the offset is unknown."""
-    zero = F.lit(0)
-    return ts + F.make_dt_interval(zero, zero, zero, offset_seconds)
+    shift = offset_seconds.cast("bigint") * 1_000_000
+    return F.timestamp_micros(F.unix_micros(ts) + shift)
 
 
 def calendar_age_days(ts: Column, as_of: Column) -> Column:

@@ -20,7 +20,7 @@ def kpi_langusertweets(
     undetermined = F.col("lang") == UNDETERMINED
     matches = F.col("lang") == F.col("profile_lang")
     return (
-        with_author(status.select(*_POST), users)
+        with_author(status, users)
         .groupBy("userid")
         .agg(
             count_rows().alias("n"),
@@ -39,9 +39,6 @@ def kpi_langusertweets(
     )
 
 
-_POST = ("status_user_id", "recorded_at", "session_id", "lang")
-
-
 def kpi_tweetlangs(
     *statuses: DataFrame, ratio: float = 0.06, drop_retweets: bool = False
 ) -> DataFrame:

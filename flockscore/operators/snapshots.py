@@ -13,11 +13,20 @@ SNAPSHOT_KEY = ["userid", "recorded_at", "session_id"]
 
 
 def with_author(status: DataFrame, users: DataFrame) -> DataFrame:
-    """Inner join of each post with its own snapshot (K6, K8, K9).
+    """Each post with language and offset of its own snapshot (K6, K8, K9).
 
-    The recording time is part of the key, so a busy account spreads over all
-    tasks.
+    Posts stored with their snapshot (``author``) need no join. Otherwise the
+    recording time is part of the join key, so that a busy account spreads over
+    all tasks.
     """
+    posts = status.withColumnRenamed("status_user_id", "userid")
+    if "author" in posts.columns:
+        return posts.withColumns(
+            {
+                "profile_lang": F.col("author.lang"),
+                "utcoffset": F.col("author.utcoffset"),
+            }
+        )
     author = users.select(
         F.col("id").alias("userid"),
         "recorded_at",
@@ -25,9 +34,7 @@ def with_author(status: DataFrame, users: DataFrame) -> DataFrame:
         F.col("lang").alias("profile_lang"),
         "utcoffset",
     )
-    return status.withColumnRenamed("status_user_id", "userid").join(
-        author, SNAPSHOT_KEY
-    )
+    return posts.join(author, SNAPSHOT_KEY)
 
 
 def local_posts(*datasets: tuple[DataFrame, DataFrame]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockscore.functions.joins import count_rows
@@ -72,12 +73,7 @@ def _author_rows(inputs: Inputs) -> DataFrame:
     matches = F.col("lang") == F.col("profile_lang")
     mismatch = ~F.coalesce(undetermined | matches, F.lit(False))
     hour = F.hour(local_time(F.col("created_at"), F.col("utcoffset")))
-    posts = with_author(
-        inputs.status.select(
-            "id", "status_user_id", "recorded_at", "session_id", "created_at", "lang"
-        ),
-        inputs.users,
-    )
+    posts = with_author(inputs.status, inputs.users)
     facts = posts.groupBy("userid").agg(
         count_rows().alias("n"),
         F.count_if(undetermined).alias("n_und"),
@@ -186,9 +182,12 @@ def ko_table(rows: DataFrame, universe: DataFrame, profile: Profile) -> DataFram
     )
 
 
-def _mean(score, weight):
-    """Weighted mean, rounded so that the order in which the shuffle delivers
-    the addends cannot move a total across a threshold."""
+def _mean(score: Column, weight: Column) -> Column:
+    """Weighted mean.
+
+    Rounded, so that the order in which the shuffle delivers the addends cannot
+    move a total across a threshold.
+    """
     mean = F.sum(score * weight) / F.nullif(F.sum(weight), F.lit(0.0))
     return F.round(mean, 9)
 
@@ -222,25 +221,66 @@ def by_score(scores: DataFrame, column: str) -> DataFrame:
     return scores.orderBy(F.desc_nulls_first(column), "userid")
 
 
+def _total(names: dict[str, float], profile: Profile) -> Column:
+    """The weighted mean out of one sum and two counts per indicator."""
+    addends, weights, known = [], [], []
+    for name, weight in names.items():
+        value, values, rows = (F.col(f"{c}_{name}") for c in ("sum", "known", "rows"))
+        absent = profile.indicator(name).absent if profile.single else None
+        if absent is not None:
+            value = F.when(values > 0, value).otherwise(absent)
+            values = F.greatest(values, F.lit(1))
+        counted = values if profile.nulls == "drop" else F.greatest(rows, F.lit(1))
+        addends.append(F.coalesce(value, F.lit(0.0)) * weight)
+        weights.append(counted * F.lit(float(weight)))
+        known.append(values)
+    total = sum(addends) / F.nullif(sum(weights), F.lit(0.0))
+    if profile.nulls != "zero":
+        total = F.when(sum(known) > 0, total)
+    return F.round(total, 9)
+
+
 def score(
     inputs: Inputs, universe: DataFrame, profile: Profile = BATCH
 ) -> DataFrame:
     """C8-C12 / C14-C15 in one go: (userid, totalscore) for all of ``universe``.
 
-    Weighted and knock-out indicators share the passes over the posts, one grid
-    and one aggregation.
+    The same result as the single steps, without the grid: indicators meet in
+    one aggregation per account, which the universe then joins in place.
     """
     names = [*profile.weights, *profile.knockouts]
     rows = kpi_rows(inputs, profile, names)
-    table = _on_grid(rows, universe, profile)
-    score_, weight, ko = (F.col(c) for c in ("botscore", "weight", "knockout"))
-    return (
-        table.groupBy("userid")
-        .agg(
-            _mean(F.when(~ko, score_), F.when(~ko, weight)).alias("weighted"),
-            F.max(F.when(ko, score_)).alias("flag"),
-        )
-        .select("userid", F.greatest("flag", "weighted").alias("totalscore"))
+    parts = []
+    for name in names:
+        own = F.col("kpiname") == name
+        value = F.when(own, F.col("botscore"))
+        parts += [
+            F.sum(value).alias(f"sum_{name}"),
+            F.count(value).alias(f"known_{name}"),
+            F.count_if(own).alias(f"rows_{name}"),
+            F.max(value).alias(f"max_{name}"),
+        ]
+    facts = universe.select("userid").join(
+        rows.groupBy("userid").agg(*parts), "userid", "left"
+    )
+    facts = facts.na.fill(0, [f"{c}_{n}" for c in ("known", "rows") for n in names])
+    flags = []
+    for name in profile.knockouts:
+        flag = F.col(f"max_{name}")
+        if profile.single:
+            flag = F.coalesce(flag, F.lit(profile.indicator(name).absent))
+        flags.append(flag)
+    scores = [_total(profile.weights, profile), *flags]
+    best = F.greatest(*scores) if flags else scores[0]
+    return facts.select("userid", best.alias("totalscore"))
+
+
+def of_account(inputs: Inputs, userid: int) -> Inputs:
+    """Only the rows of one account; the filters reach the scans."""
+    return replace(
+        inputs,
+        status=inputs.status.where(F.col("status_user_id") == userid),
+        users=inputs.users.where(F.col("id") == userid),
     )
 
 
@@ -296,6 +336,3 @@ def two_stage_total(stage2: DataFrame, common: DataFrame) -> DataFrame:
     columns = ["userid", "botscore", "weight"]
     rows = stage2.select(columns).unionByName(common.select(columns))
     return weighted_total(rows.distinct())
-
-
-__all__ = ["BATCH", "PERUSER", "STAGE1", "STAGE2", "Inputs", "score"]

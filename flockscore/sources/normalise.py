@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["status_id", "recorded_at", "session_id"]
-NO_REPLY = -1
+NONE = -1  # stands for a missing id or offset
 
 
 def tweet_time(text: Column) -> Column:
@@ -44,7 +44,7 @@ def prepare(
 
 
 def statuses(t: DataFrame) -> DataFrame:
-    """The status rows, with their entities nested as arrays."""
+    """The status rows, with entities and the author's snapshot nested."""
     author, entities = F.col("user"), F.col("entities")
     start, end = (lambda e: e["indices"][0]), (lambda e: e["indices"][1])
     return t.select(
@@ -53,11 +53,15 @@ def statuses(t: DataFrame) -> DataFrame:
         tweet_time(F.col("created_at")).alias("created_at"),
         "session_id",
         author["id"].alias("status_user_id"),
+        F.struct(
+            author["lang"].alias("lang"),
+            F.coalesce(author["utc_offset"], F.lit(NONE)).alias("utcoffset"),
+        ).alias("author"),
         "lang",
         F.col("source").alias("status_source"),
         F.col("text").alias("status_text"),
         F.col("retweeted_status").isNotNull().cast("int").alias("isretweet"),
-        F.coalesce("in_reply_to_status_id", F.lit(NO_REPLY)).alias(
+        F.coalesce("in_reply_to_status_id", F.lit(NONE)).alias(
             "in_reply_to_status_id"
         ),
         F.transform(
@@ -83,10 +87,10 @@ def statuses(t: DataFrame) -> DataFrame:
         author["screen_name"].alias("screen_name"),
         F.array_join("withheld_in_countries", ",").alias("withheld_in_countries"),
         F.col("in_reply_to_screen_name").alias("inreplytoscreenname"),
-        F.coalesce("in_reply_to_user_id", F.lit(NO_REPLY)).alias(
+        F.coalesce("in_reply_to_user_id", F.lit(NONE)).alias(
             "inreplytouserid"
         ),
-        F.coalesce("quoted_status_id", F.lit(NO_REPLY)).alias("quoted_status_id"),
+        F.coalesce("quoted_status_id", F.lit(NONE)).alias("quoted_status_id"),
         F.col("retweet_count").alias("retweetcount"),
         F.col("retweeted_status.id").alias("retweeted_status_id"),
         _flag(F.col("favorited")).alias("isfavorited"),
@@ -131,7 +135,7 @@ def user_snapshots(t: DataFrame) -> DataFrame:
         u["statuses_count"].alias("statuses_count"),
         u["time_zone"].alias("timezone"),
         u["url"].alias("user_url"),
-        F.coalesce(u["utc_offset"], F.lit(NO_REPLY)).alias("utcoffset"),
+        F.coalesce(u["utc_offset"], F.lit(NONE)).alias("utcoffset"),
         F.array_join(u["withheld_in_countries"], ",").alias("withheldincountries"),
         _flag(u["contributors_enabled"]).alias("iscontributorsenabled"),
         _flag(u["default_profile"]).alias("isdefaultprofile"),

@@ -98,7 +98,16 @@ def test_spread_join_equals_join(sides, how):
 
 def test_hot_keys_are_few(sides):
     left, _ = sides
-    assert [r.k for r in hot_keys(left, "k", 100).collect()] == [1]
+    assert [r.k for r in hot_keys(left, "k", 1).collect()] == [1]
+    assert hot_keys(left, "k", 100).count() == 100
+
+
+@pytest.mark.parametrize("hot", [1, 100, 5000])
+def test_any_number_of_hot_keys_gives_the_same(sides, hot):
+    left, right = sides
+    got = spread_join(left, right, "k", spread_by=["id"], how="left", hot=hot)
+    expected = left.join(right, "k", "left")
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
 
 
 def test_large_lookup_is_not_broadcast(sides):
