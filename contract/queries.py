@@ -75,16 +75,10 @@ def kpi(source: str, doubles: str = "botscore", others: str = "userid") -> str:
     return inner.replace("select ", "select kpiname, ", 1)
 
 
-_written: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def _bots(spark: SparkSession, sf: str, name: str, totals: Query) -> DataFrame:
-    """The bot list as a written table; all reports of a session share it."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _written:
-        found = sc.bots(totals(spark, sf)).select("userid")
-        _written[key] = materialise(found, run_dir(spark, name))
-    return _written[key]
+    """The bot list as a written table, as the reports want it."""
+    found = sc.bots(totals(spark, sf)).select("userid")
+    return materialise(found, run_dir(spark, name))
 
 
 def _stage1_total(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,10 +91,12 @@ def _stage2_total(spark: SparkSession, sf: str) -> DataFrame:
     return sc.two_stage_total(sc.stage2_table(fx.both(spark, sf)), common)
 
 
+@fx.once
 def _bots1(spark: SparkSession, sf: str) -> DataFrame:
     return _bots(spark, sf, "bots1", _stage1_total)
 
 
+@fx.once
 def _bots2(spark: SparkSession, sf: str) -> DataFrame:
     return _bots(spark, sf, "bots2", _stage2_total)
 

@@ -9,9 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flockscore.functions.joins import is_small
 from flockscore.plans.registry import PERUSER, Inputs
 from flockscore.plans.score import accounts_of, score, write_back
-from flockscore.streaming.ingest import BATCH, write_batch
+from flockscore.streaming.ingest import BATCH, BUCKET, user_bucket, write_batch
+
+
+def _own(table: DataFrame, touched: DataFrame, account: str) -> DataFrame:
+    """Rows of the touched accounts.
+
+    Of a table with account folders only theirs are read; the list of folders
+    has at most ``BUCKETS`` entries.
+    """
+    if BUCKET in table.columns:
+        folder = user_bucket(F.col("userid")).alias(BUCKET)
+        folders = [row[BUCKET] for row in touched.select(folder).distinct().collect()]
+        table = table.where(F.col(BUCKET).isin(folders))
+    wanted = touched.withColumnRenamed("userid", account)
+    return table.join(wanted, account, "left_semi")
 
 
 def rescore_batch(
@@ -22,15 +37,10 @@ def rescore_batch(
 ) -> DataFrame:
     """New scores of the touched accounts from their whole history."""
     status, users = history()
-    own_posts = status.join(
-        touched.withColumnRenamed("userid", "status_user_id"),
-        "status_user_id",
-        "left_semi",
-    )
-    own_users = users.join(
-        touched.withColumnRenamed("userid", "id"), "id", "left_semi"
+    few = F.broadcast(touched) if is_small(touched) else touched
+    inputs = Inputs(
+        _own(status, few, "status_user_id"), _own(users, few, "id"), as_of, source_q
     )
-    inputs = Inputs(own_posts, own_users, as_of, source_q)
     return score(inputs, touched, PERUSER)
 
 
@@ -49,11 +59,15 @@ def rescore_stream(
     ``history`` reads the stored posts and snapshots, the new ones included.
     Scores are written per batch below ``out``; ``latest_scores`` reads them.
     """
+    spark = posts.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        touched = accounts_of(batch)
+        write_batch(accounts_of(batch), f"{out}/_touched", batch_id)
+        touched = spark.read.schema("userid bigint").parquet(
+            f"{out}/_touched/{BATCH}={batch_id}"
+        )
         scores = rescore_batch(touched, history, source_q, as_of())
-        write_batch(scores, out, batch_id)
+        write_batch(scores, f"{out}/scores", batch_id)
 
     return (
         posts.writeStream.foreachBatch(run)
@@ -66,7 +80,7 @@ def rescore_stream(
 def latest_scores(spark: SparkSession, out: str) -> DataFrame:
     """The newest score of each account out of all batches."""
     return (
-        spark.read.parquet(out)
+        spark.read.parquet(f"{out}/scores")
         .groupBy("userid")
         .agg(F.max_by("totalscore", BATCH).alias("totalscore"))
     )

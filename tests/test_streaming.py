@@ -2,6 +2,7 @@
 
 import copy
 import json
+import re
 from datetime import datetime
 
 from frames import challenge, source_q
@@ -111,10 +112,23 @@ def test_rescore_touched_accounts(spark, tmp_path):
     run_ingest(spark, tmp_path)
     second = follow()
     assert second[8] == first[8] and second[9] > first[9]
-    batches = spark.read.parquet(str(tmp_path / "scores")).collect()
+    batches = spark.read.parquet(str(tmp_path / "scores" / "scores")).collect()
     assert sorted(r.userid for r in batches) == [8, 9, 9]
 
     posts, users = history()
+    touched = spark.createDataFrame([(9,)], "userid bigint")
+    again = rescore.rescore_batch(touched, history, known, AS_OF)
+    assert dict(map(tuple, again.collect())) == {9: second[9]}
+    text = again._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*user_bucket#\d+ (=|IN)", text)
+
+    # stored posts carry their snapshot; joining it gives the same
+    joined = sc.score(
+        Inputs(posts.drop("author"), users, AS_OF, known),
+        sc.accounts_of(posts),
+        PERUSER,
+    )
+    assert dict(map(tuple, joined.collect())) == second
     batch = sc.score(Inputs(posts, users, AS_OF, known), sc.accounts_of(posts), PERUSER)
     assert dict(map(tuple, batch.collect())) == second
     listed = challenge(spark, (9, None), (5, 0.4))
