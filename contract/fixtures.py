@@ -44,6 +44,8 @@ SCHEMAS = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, "
     "c_acctbal double, c_mktsegment string",
     "documents": "doc_id bigint, text string, lang string, source string",
+    "conversations": "text string",
+    "labels": "doc_id bigint, toxic int",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, "
     "event_type string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
@@ -61,9 +63,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
-    """A table in fewer files than there are cores, dealt over all cores."""
+    """A table in fewer splits than there are cores, dealt over all cores."""
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _with_row_of(
@@ -414,3 +416,27 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 @once
 def tweets(spark: SparkSession, sf: str) -> DataFrame:
     return tweets_from_values(messages(spark, sf))
+
+
+@once
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream with control messages and rubbish in between.
+
+    Toxic documents give deletion notices, the turns of conversations lines
+    that are no JSON.
+    """
+    notice = F.struct(
+        F.struct(
+            F.struct(F.col("doc_id").alias("id"), F.col("doc_id").alias("user_id"))
+            .alias("status")
+        ).alias("delete")
+    )
+    toxic = table(spark, sf, "labels").where(F.col("toxic") == 1)
+    spoken = F.regexp_replace(F.concat(F.lit("> "), "text"), "[\r\n]+", " ")
+    return (
+        messages(spark, sf)
+        .unionByName(toxic.select(F.to_json(notice).alias("value")))
+        .unionByName(
+            table(spark, sf, "conversations").select(spoken.alias("value"))
+        )
+    )

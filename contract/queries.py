@@ -12,7 +12,7 @@ from contract import oracles as sql
 from flockscore import operators as op
 from flockscore.plans import reports, texts
 from flockscore.plans import score as sc
-from flockscore.plans.registry import BATCH, PERUSER, STAGE1
+from flockscore.plans.registry import BATCH, PERUSER
 from flockscore.session import materialise, run_dir
 from flockscore.sources import normalise as norm
 from flockscore.sources import tables
@@ -497,20 +497,21 @@ def _(spark, sf):
 
 
 @query(
-    "topic_text_bounded", sql.bounded_text("topic_posts", "track_topics", 200_000)
+    "topic_text_bounded",
+    sql.bounded_text("topic_posts", "track_topics", texts.MAX_CHARS),
 )
 def _(spark, sf):
     return texts.topic_text(
         fx.posts(spark, sf, spread=True),
         fx.session(spark),
         _bots1(spark, sf),
-        max_chars=200_000,
     )
 
 
-@query("challenge_text_bounded", sql.bounded_text("listed_posts", "", 2_000_000))
+@query("challenge_text_bounded", sql.bounded_text("listed_posts", "", texts.MAX_CHARS))
 def _(spark, sf):
-    return texts.challenge_text(fx.posts(spark, sf, spread=True), fx.challenge(spark, sf))
+    posts = fx.posts(spark, sf, spread=True)
+    return texts.challenge_text(posts, fx.challenge(spark, sf))
 
 
 @query(
@@ -535,7 +536,8 @@ def _(spark, sf):
 
 @query("term_frequencies_followers", sql.FOLLOWER_TERMS)
 def _(spark, sf):
-    posts = texts.challenge_posts(fx.posts(spark, sf, spread=True), fx.challenge(spark, sf))
+    posts = fx.posts(spark, sf, spread=True)
+    posts = texts.challenge_posts(posts, fx.challenge(spark, sf))
     return texts.term_frequencies(
         posts,
         ["is_bot"],
@@ -768,6 +770,17 @@ def _(spark, sf):
     )
 
 
+@query(
+    "normalise_places",
+    """select p.id as status_id, d.source as pname, 'Polygon' as bb_type
+       from posts p, (select count(*) as size from documents) n
+       join documents d on d.doc_id = p.id % n.size
+       where p.status_source = 'signup'""",
+)
+def _(spark, sf):
+    return norm.places(_prepared(spark, sf)).select("status_id", "pname", "bb_type")
+
+
 @query(
     "csv_challenge",
     """select * replace (round(botscore, 9) as botscore) from challenge""",
@@ -822,22 +835,34 @@ def _(spark, sf):
 # ------------------------------------------------------------- streaming
 
 
+@fx.once
 def _ingested(spark, sf) -> str:
-    """The stream as JSON lines, taken in by the streaming job."""
+    """All lines of the stream, taken in by the streaming job."""
     base = run_dir(spark, "stream")
-    fx.messages(spark, sf).write.text(f"{base}/in")
+    fx.lines(spark, sf).write.text(f"{base}/in")
     job = ingest.ingest_stream(
         spark,
         f"{base}/in",
         f"{base}/out",
         f"{base}/checkpoint",
         session_id=1,
-        maxFilesPerTrigger="4",
+        maxFilesPerTrigger="64",
     )
     job.awaitTermination()
     return f"{base}/out"
 
 
+@query(
+    "stream_report",
+    """select 'status' as kind, count(*) as anz from events
+       union all select 'delete', count(*) from labels where toxic = 1
+       union all select 'corrupt', count(*) from conversations""",
+)
+def _(spark, sf):
+    report = ingest.read_table(spark, _ingested(spark, sf), "_report")
+    return report.groupBy("kind").agg(F.sum("anz").alias("anz"))
+
+
 @query(
     "stream_ingest",
     """select id, status_user_id, date_trunc('second', created_at) as created_at,

@@ -66,7 +66,7 @@ def post_tiles(status: DataFrame, *, tiles: int = 20) -> DataFrame:
             F.col("session_id").alias("sessionid"),
         )
         .agg(count_rows().alias("anz"))
-        .withColumn("tie", F.pmod("userid", F.lit(TIE_GROUPS)))
+        .withColumn("tie", F.coalesce(F.pmod("userid", F.lit(TIE_GROUPS)), F.lit(0)))
     )
 
     by_count = W.orderBy("anz")

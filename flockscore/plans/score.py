@@ -17,7 +17,6 @@ from flockscore.operators.source import source_facts
 from flockscore.plans.registry import (
     BATCH,
     INDICATORS,
-    PERUSER,
     STAGE1,
     STAGE2,
     Inputs,

@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the setting is missing (tests on one machine) a local folder
     stands in for it.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId

@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flockscore.schemas import SESSION
 
@@ -50,7 +49,3 @@ def open_session(
         spark, new_id, track=track, follow=follow, datasource=datasource
     ).write.mode("append").parquet(path)
     return new_id
-
-
-def topics_of(session: DataFrame) -> DataFrame:
-    return session.select(F.col("id").alias("session_id"), "track_topics").distinct()

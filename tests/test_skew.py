@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from frames import scores, snapshots, status
+from frames import at, scores, snapshots, status
 from pyspark.sql import functions as F
 
 from flockscore import operators as op
@@ -32,6 +32,14 @@ def test_tiles_equal_ntile(spark, n):
     )
 
 
+def test_copies_count_in_tiles(spark):
+    copies = [{"id": 5, "u": 1, "recorded_at": at(n)} for n in range(4)]
+    tiles = post_tiles(status(spark, *copies, {"id": 6, "u": 2}))
+    assert sorted((r.userid, r.anz, r.decil) for r in tiles.collect()) == [
+        (1, 4, 2), (2, 1, 1),
+    ]
+
+
 def test_gaps_of_a_hot_account(spark):
     random.seed(1)
     rows = [
