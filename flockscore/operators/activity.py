@@ -13,6 +13,7 @@ from flockscore.functions.temporal import local_time
 from flockscore.operators.snapshots import with_author
 
 TIE_GROUPS = 1021
+NIGHT = (1, 2, 3, 4)
 
 
 def kpi_tweetmention(status: DataFrame, *, limit: float = 0.5) -> DataFrame:
@@ -196,8 +197,12 @@ def kpi_tweetfreq(*statuses: DataFrame, seconds: float = 5) -> DataFrame:
     )
 
 
+def local_hour() -> Column:
+    return F.hour(local_time(F.col("created_at"), F.col("utcoffset")))
+
+
 def kpi_statusfrequency(
-    *datasets: tuple[DataFrame, DataFrame], hours: Sequence[int] = (1, 2, 3, 4)
+    *datasets: tuple[DataFrame, DataFrame], hours: Sequence[int] = NIGHT
 ) -> DataFrame:
     """K8: posts at night by the author's clock; 24 hourly counts as details."""
     parts = [
@@ -207,14 +212,13 @@ def kpi_statusfrequency(
     posts = parts[0]
     for part in parts[1:]:
         posts = posts.unionByName(part)
-    hour = F.hour(local_time(F.col("created_at"), F.col("utcoffset")))
     counts = [
         F.count(F.when(F.col("hour") == h, 1)).alias(f"uhr{h}") for h in range(24)
     ]
     at_night = sum(F.col(f"uhr{h}") for h in hours) > 0
     return (
         posts.distinct()
-        .withColumn("hour", hour)
+        .withColumn("hour", local_hour())
         .groupBy("userid")
         .agg(*counts)
         .select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockscore.functions.joins import count_rows
@@ -13,29 +13,34 @@ from flockscore.operators.snapshots import with_author
 UNDETERMINED = "und"
 
 
+def mismatch_counts() -> list[Column]:
+    """Aggregates for ``mismatch``: posts, undetermined ones, other mismatches.
+
+    Counts instead of a sum of scores, so that their order does not matter.
+    """
+    undetermined = F.col("lang") == UNDETERMINED
+    fits = undetermined | (F.col("lang") == F.col("profile_lang"))
+    return [
+        count_rows().alias("n"),
+        F.count_if(undetermined).alias("n_und"),
+        F.count_if(~F.coalesce(fits, F.lit(False))).alias("n_other"),
+    ]
+
+
+def mismatch(und_score: float = 0.2) -> Column:
+    """Mean over the posts; an unknown language is a mismatch."""
+    return (F.col("n_und") * und_score + F.col("n_other")) / F.col("n")
+
+
 def kpi_langusertweets(
     status: DataFrame, users: DataFrame, *, und_score: float = 0.2
 ) -> DataFrame:
     """K6: mean mismatch between post and profile language; copies count."""
-    undetermined = F.col("lang") == UNDETERMINED
-    matches = F.col("lang") == F.col("profile_lang")
-    return (
-        with_author(status, users)
-        .groupBy("userid")
-        .agg(
-            count_rows().alias("n"),
-            F.count_if(undetermined).alias("n_und"),
-            F.count_if(
-                ~F.coalesce(undetermined | matches, F.lit(False))
-            ).alias("n_other"),
-        )
-        .select(
-            F.lit("LANGUSERTWEETS").alias("kpiname"),
-            "userid",
-            (
-                (F.col("n_und") * und_score + F.col("n_other")) / F.col("n")
-            ).alias("botscore"),
-        )
+    facts = with_author(status, users).groupBy("userid").agg(*mismatch_counts())
+    return facts.select(
+        F.lit("LANGUSERTWEETS").alias("kpiname"),
+        "userid",
+        mismatch(und_score).alias("botscore"),
     )
 
 

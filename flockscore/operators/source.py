@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flockscore.functions.joins import lookup_join
@@ -33,6 +33,10 @@ def source_facts(status: DataFrame, source_q: DataFrame) -> DataFrame:
     )
 
 
+def knocked_out(majority: float = 0.5) -> Column:
+    return F.when(F.col("ko_share") > majority, 1.0).otherwise(0.0)
+
+
 def kpi_sourcequalification(status: DataFrame, source_q: DataFrame) -> DataFrame:
     """Mean qualification of the clients used; unknown clients count 0."""
     return source_facts(status, source_q).select(
@@ -47,7 +51,5 @@ def kpi_ko_source(
     return source_facts(status, source_q).select(
         F.lit("KOSOURCEQUALIFICATION").alias("kpiname"),
         "userid",
-        F.when(F.col("ko_share") > majority, 1.0)
-        .otherwise(0.0)
-        .alias("kobotscore"),
+        knocked_out(majority).alias("kobotscore"),
     )

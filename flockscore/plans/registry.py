@@ -114,6 +114,9 @@ register(
         absent=0.0,
     ),
 )
+# what scoring may take from a shared pass; a replaced indicator is built alone
+STANDARD = dict(INDICATORS)
+
 # variants of the profile that scores single accounts
 register(
     "REACTIONTIME_SELF",

@@ -8,18 +8,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flockscore.functions.joins import count_rows
-from flockscore.functions.temporal import local_time
-from flockscore.operators.language import UNDETERMINED
+from flockscore.operators.activity import NIGHT, local_hour
+from flockscore.operators.language import mismatch, mismatch_counts
 from flockscore.operators.profile import profile_facts
 from flockscore.operators.snapshots import with_author
-from flockscore.operators.source import source_facts
+from flockscore.operators.source import knocked_out, source_facts
 from flockscore.plans.registry import (
     BATCH,
-    INDICATORS,
     STAGE1,
     STAGE2,
     Inputs,
+    STANDARD,
     Profile,
 )
 
@@ -58,31 +57,28 @@ def _profile_rows(inputs: Inputs) -> DataFrame:
 
 
 def _source_rows(inputs: Inputs) -> DataFrame:
-    facts = source_facts(inputs.status, inputs.source_q).withColumn(
-        "ko", F.when(F.col("ko_share") > 0.5, 1.0).otherwise(0.0)
-    )
+    facts = source_facts(inputs.status, inputs.source_q)
     return _tall(
-        facts, {"SOURCEQUALIFICATION": "botscore", "KOSOURCEQUALIFICATION": "ko"}
+        facts.withColumn("ko", knocked_out()),
+        {"SOURCEQUALIFICATION": "botscore", "KOSOURCEQUALIFICATION": "ko"},
     )
 
 
 def _author_rows(inputs: Inputs) -> DataFrame:
-    """K6 and K8 from a single join of posts and snapshots."""
-    undetermined = F.col("lang") == UNDETERMINED
-    matches = F.col("lang") == F.col("profile_lang")
-    mismatch = ~F.coalesce(undetermined | matches, F.lit(False))
-    hour = F.hour(local_time(F.col("created_at"), F.col("utcoffset")))
-    posts = with_author(inputs.status, inputs.users)
-    facts = posts.groupBy("userid").agg(
-        count_rows().alias("n"),
-        F.count_if(undetermined).alias("n_und"),
-        F.count_if(mismatch).alias("n_other"),
-        # copies of a post cannot change whether there is one at night
-        F.count_if(hour.between(1, 4)).alias("n_night"),
+    """K6 and K8 from a single join of posts and snapshots.
+
+    Copies of a post cannot change whether there is one at night.
+    """
+    at_night = F.count_if(local_hour().isin(*NIGHT))
+    facts = (
+        with_author(inputs.status, inputs.users)
+        .groupBy("userid")
+        .agg(*mismatch_counts(), at_night.alias("n_night"))
+        .withColumn("lang_score", mismatch())
+        .withColumn(
+            "night_score", F.when(F.col("n_night") > 0, 1.0).otherwise(0.0)
+        )
     )
-    facts = facts.withColumn(
-        "lang_score", (F.col("n_und") * 0.2 + F.col("n_other")) / F.col("n")
-    ).withColumn("night_score", F.when(F.col("n_night") > 0, 1.0).otherwise(0.0))
     return _tall(
         facts, {"LANGUSERTWEETS": "lang_score", "STATUSFREQUENCY": "night_score"}
     )
@@ -108,7 +104,7 @@ def kpi_rows(
     parts = []
     for shared, build in _SHARED:
         standard = all(
-            name in wanted and profile.indicator(name) is INDICATORS[name]
+            name in wanted and profile.indicator(name) is STANDARD[name]
             for name in shared
         )
         if standard and inputs.other_status is None:
