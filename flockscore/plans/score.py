@@ -17,8 +17,8 @@ from flockscore.plans.registry import (
     BATCH,
     STAGE1,
     STAGE2,
-    Inputs,
     STANDARD,
+    Inputs,
     Profile,
 )
 
@@ -216,19 +216,44 @@ def by_score(scores: DataFrame, column: str) -> DataFrame:
     return scores.orderBy(F.desc_nulls_first(column), "userid")
 
 
-def _total(names: dict[str, float], profile: Profile) -> Column:
-    """The weighted mean out of one sum and two counts per indicator."""
+def _facts(profile: Profile) -> list[Column]:
+    """Aggregates per account.
+
+    Sum and number of the known scores of each indicator, the number of all its
+    rows where there can be several, and the knock-out flags.
+    """
+    facts = []
+    for name in [*profile.weights, *profile.knockouts]:
+        own = F.col("kpiname") == name
+        value = F.when(own, F.col("botscore"))
+        if name in profile.knockouts:
+            facts.append(F.max(value).alias(f"flag_{name}"))
+            continue
+        facts += [F.sum(value).alias(f"sum_{name}"), F.count(value).alias(f"n_{name}")]
+        if profile.indicator(name).many:
+            facts.append(F.count_if(own).alias(f"rows_{name}"))
+    return facts
+
+
+def _total(profile: Profile) -> Column:
+    """The weighted mean out of ``_facts``."""
+    none, one = F.lit(0), F.lit(1)
     addends, weights, known = [], [], []
-    for name, weight in names.items():
-        value, values, rows = (F.col(f"{c}_{name}") for c in ("sum", "known", "rows"))
-        absent = profile.indicator(name).absent if profile.single else None
-        if absent is not None:
-            value = F.when(values > 0, value).otherwise(absent)
-            values = F.greatest(values, F.lit(1))
-        counted = values if profile.nulls == "drop" else F.greatest(rows, F.lit(1))
+    for name, weight in profile.weights.items():
+        indicator = profile.indicator(name)
+        value = F.col(f"sum_{name}")
+        n = F.coalesce(f"n_{name}", none)
+        if profile.single and indicator.absent is not None:
+            value = F.coalesce(value, F.lit(indicator.absent))
+            n = F.greatest(n, one)
+        counted = n
+        if profile.nulls != "drop":
+            # without any row there is one on the grid
+            rows = F.coalesce(f"rows_{name}", none) if indicator.many else one
+            counted = F.greatest(rows, one)
         addends.append(F.coalesce(value, F.lit(0.0)) * weight)
         weights.append(counted * F.lit(float(weight)))
-        known.append(values)
+        known.append(n)
     total = sum(addends) / F.nullif(sum(weights), F.lit(0.0))
     if profile.nulls != "zero":
         total = F.when(sum(known) > 0, total)
@@ -244,30 +269,19 @@ def score(
     one aggregation per account, which the universe then joins in place.
     """
     names = [*profile.weights, *profile.knockouts]
-    rows = kpi_rows(inputs, profile, names)
-    parts = []
-    for name in names:
-        own = F.col("kpiname") == name
-        value = F.when(own, F.col("botscore"))
-        parts += [
-            F.sum(value).alias(f"sum_{name}"),
-            F.count(value).alias(f"known_{name}"),
-            F.count_if(own).alias(f"rows_{name}"),
-            F.max(value).alias(f"max_{name}"),
-        ]
-    facts = universe.select("userid").join(
-        rows.groupBy("userid").agg(*parts), "userid", "left"
-    )
-    facts = facts.na.fill(0, [f"{c}_{n}" for c in ("known", "rows") for n in names])
-    flags = []
+    facts = kpi_rows(inputs, profile, names).groupBy("userid").agg(*_facts(profile))
+    scores = [_total(profile)]
     for name in profile.knockouts:
-        flag = F.col(f"max_{name}")
+        flag = F.col(f"flag_{name}")
         if profile.single:
             flag = F.coalesce(flag, F.lit(profile.indicator(name).absent))
-        flags.append(flag)
-    scores = [_total(profile.weights, profile), *flags]
-    best = F.greatest(*scores) if flags else scores[0]
-    return facts.select("userid", best.alias("totalscore"))
+        scores.append(flag)
+    best = F.greatest(*scores) if profile.knockouts else scores[0]
+    return (
+        universe.select("userid")
+        .join(facts, "userid", "left")
+        .select("userid", best.alias("totalscore"))
+    )
 
 
 def of_account(inputs: Inputs, userid: int) -> Inputs:
