@@ -92,12 +92,12 @@ def _stage2_total(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @fx.once
-def _bots1(spark: SparkSession, sf: str) -> DataFrame:
+def stage1_bots(spark: SparkSession, sf: str) -> DataFrame:
     return _bots(spark, sf, "bots1", _stage1_total)
 
 
 @fx.once
-def _bots2(spark: SparkSession, sf: str) -> DataFrame:
+def stage2_bots(spark: SparkSession, sf: str) -> DataFrame:
     return _bots(spark, sf, "bots2", _stage2_total)
 
 
@@ -425,13 +425,13 @@ PER_DAY = """
 
 def _per_topic(spark, sf):
     return reports.bots_per_topic(
-        fx.posts(spark, sf), _bots2(spark, sf), fx.session(spark)
+        fx.posts(spark, sf), stage2_bots(spark, sf), fx.session(spark)
     )
 
 
 def _per_day(spark, sf):
     return reports.counts_per_day(
-        fx.posts(spark, sf), _bots2(spark, sf), fx.session(spark)
+        fx.posts(spark, sf), stage2_bots(spark, sf), fx.session(spark)
     )
 
 
@@ -482,7 +482,7 @@ def _(spark, sf):
 def _(spark, sf):
     linked = fx.posts_with_urls(spark, sf).select("status_user_id", "urls")
     # the history repeats the links of the stream
-    return reports.top_urls([linked, linked], _bots2(spark, sf))
+    return reports.top_urls([linked, linked], stage2_bots(spark, sf))
 
 
 @query(
@@ -493,7 +493,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     tagged = fx.posts(spark, sf).select("status_user_id", "hashtags")
-    return reports.top_hashtags([tagged, tagged], _bots2(spark, sf))
+    return reports.top_hashtags([tagged, tagged], stage2_bots(spark, sf))
 
 
 @query(
@@ -504,7 +504,7 @@ def _(spark, sf):
     return texts.topic_text(
         fx.posts(spark, sf, spread=True),
         fx.session(spark),
-        _bots1(spark, sf),
+        stage1_bots(spark, sf),
     )
 
 
@@ -529,7 +529,7 @@ def _(spark, sf):
 @query("term_frequencies", sql.TOPIC_TERMS)
 def _(spark, sf):
     posts = texts.topic_posts(
-        fx.posts(spark, sf, spread=True), fx.session(spark), _bots1(spark, sf)
+        fx.posts(spark, sf, spread=True), fx.session(spark), stage1_bots(spark, sf)
     )
     return texts.term_frequencies(posts, stopwords=WORDS)
 
