@@ -27,8 +27,8 @@ TWEET = {
     "withheld_in_countries": ["DE", "FR"],
     "coordinates": {"type": "Point", "coordinates": [11.5, 48.1]},
     "place": {
-        "name": "Munich",
-        "full_name": "Munich, Bavaria",
+        "name": "Lyon",
+        "full_name": "Lyon, France",
         "bounding_box": {
             "type": "Polygon",
             "coordinates": [[[11.0, 48.0], [12.0, 49.0]], [[0.0, 0.0]]],
