@@ -6,8 +6,10 @@ picks the ``PICKED`` smallest labelled k-mers, and their hash in text order is a
 key: documents share a key if they share those k-mers in that order. A key of
 twice as many k-mers splits the buckets that a common passage fills.
 
-Candidates are each member of a bucket with the bucket's smallest member, so their
-number follows the input and not the square of a bucket. They are verified by
+Candidates are each member of a bucket with the bucket's smallest member, and the
+members of a part with one another: a bucket is dealt into parts of about ``PART``
+members, other ones under each key. So their number follows the input and not the
+square of a bucket. They are verified by
 alignment: the longest chain of k-mers that both documents have in the same order,
 within the band that the threshold allows, over all k-mers of both less the chain.
 ``SIMILARITY`` or more links them. It equals the Jaccard similarity of the k-mers
@@ -37,6 +39,7 @@ KMER = 5
 SIMILARITY = 0.8
 SKETCHES = 12
 PICKED = 3
+PART = 6
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -195,8 +198,14 @@ def duplicate_classes(documents: DataFrame) -> DataFrame:
     # keys hold their order's number; equal texts fall together before anything else
     buckets = buckets.distinct().join(nodes.select("a", "b", "c"), ["a", "b"]).select("key", "c")
     buckets = written(buckets, "near-buckets")
-    hubs = buckets.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("_last")).where("hub < _last")
-    pairs = buckets.join(hubs.drop("_last"), "key").where("c != hub").groupBy("c", "hub").count()
+    hubs = buckets.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = buckets.join(hubs, "key").withColumn(
+        "part", F.pmod(F.xxhash64("c", "key"), F.ceil(F.col("n") / PART))
+    )
+    dealt = written(dealt.select("key", "part", "c", "hub"), "near-dealt")
+    other = dealt.select("key", "part", F.col("c").alias("hub"))
+    within = dealt.drop("hub").join(other, ["key", "part"]).where("c > hub").select("c", "hub")
+    pairs = dealt.where("c != hub").select("c", "hub").union(within).groupBy("c", "hub").count()
     pairs = written(pairs, "near-pairs")
 
     needed = pairs.select("c").union(pairs.select(F.col("hub").alias("c"))).distinct()
