@@ -16,7 +16,7 @@ time whatever the texts' lengths. Every word of a text is in a chain.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -29,7 +29,7 @@ from .blocks import Words, other_bytes, slices
 from .tables import fold, labelled_sample, without
 
 FOLDS = 5
-SAMPLE_ROWS = 6000  # labelled rows that the model is fitted on, at most
+SAMPLE_ROWS = 4000  # labelled rows that the model is fitted on, at most
 STARTS = (4, 5, 6, 7, 8)  # bytes of word beginnings
 LEAST_DOCS = 6
 LEAST_RATIO = 6.0
@@ -66,47 +66,59 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
     return out
 
 
-def _apart(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Rows without those that look like near copies of an earlier row (the same
-    smallest five-word hash under one of three orders), which would make words of
-    one text look common."""
-    words = _tokens(pa.array(texts))
-    h = words.hashes()
-    five = h.copy()
-    for k in range(1, 5):
-        five[:-k] = five[:-k] * np.uint64(31) + h[k:]
+def _parts(texts: list[str]) -> Iterator[tuple[int, Words]]:
+    """The sample in slices: (first row, words)."""
+    whole = pa.array(texts, pa.string())
+    for i, j in slices(whole):
+        yield i, _tokens(whole.slice(i, j - i))
+
+
+def _apart(texts: list[str]) -> np.ndarray:
+    """Whether each row is taken: not those that look like near copies of an earlier
+    row (the same smallest five-word hash under one of three orders), which would
+    make words of one text look common."""
     seen: list[set[int]] = [set(), set(), set()]
-    keep = []
-    for i in range(words.n_docs):
-        own = five[words.first[i] : words.first[i + 1]]
-        if not len(own):
-            continue
-        marks = [int((own * np.uint64(m)).min()) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-        if not any(m in s for m, s in zip(marks, seen, strict=True)):
-            keep.append(i)
-        for m, s in zip(marks, seen, strict=True):
-            s.add(m)
-    return np.array(keep, np.int64)
-
-
-def _lexicon(words: Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.zeros(len(texts), bool)
+    for i, words in _parts(texts):
+        h = words.hashes()
+        five = h.copy()
+        for k in range(1, 5):
+            five[:-k] = five[:-k] * np.uint64(31) + h[k:]
+        for d in range(words.n_docs):
+            own = five[words.first[d] : words.first[d + 1]]
+            if not len(own):
+                continue
+            marks = [int((own * np.uint64(m)).min()) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+            keep[i + d] = not any(m in s for m, s in zip(marks, seen, strict=True))
+            for m, s in zip(marks, seen, strict=True):
+                s.add(m)
+    return keep
+
+
+def _lexicon(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and their evidence: log odds over the base rate, at the lower
     end of what the counts allow."""
-    pairs = [np.stack([h, words.doc[at].astype(np.uint64)], 1) for at, h in _forms(words)]
-    pairs = np.concatenate(pairs)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    pairs = pairs[order]
-    new = np.ones(len(pairs), bool)
-    new[1:] = (pairs[1:] != pairs[:-1]).any(1)
-    pairs = pairs[new]
-    keys, at = np.unique(pairs[:, 0], return_index=True)
-    bad = np.add.reduceat(toxic[pairs[:, 1].astype(np.int64)].astype(float), at) if len(keys) else np.zeros(0)
-    n = np.diff(np.append(at, len(pairs)))
+    found: list[list[np.ndarray]] = [[] for _ in range(1 + len(STARTS))]
+    for i, words in _parts(texts):
+        for own, (at, h) in zip(found, _forms(words), strict=True):
+            order = np.lexsort((words.doc[at], h))
+            h, doc = h[order], words.doc[at][order] + i
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            own += [h[new], toxic[doc[new]].astype(np.uint64)]
     n_bad, n_all = toxic.sum(), len(toxic)
-    low = np.maximum(bad - np.sqrt(bad), 0.5)
-    ratio = (low / max(n_bad, 1)) / ((n - bad + 0.5) / max(n_all - n_bad, 1))
-    take = (bad >= LEAST_DOCS) & (ratio >= LEAST_RATIO)
-    return keys[take], np.log(ratio[take]).astype(np.float32)
+    keys, values = [], []
+    for own in found:
+        h, slot = np.unique(np.concatenate([np.zeros(0, np.uint64), *own[0::2]]), return_inverse=True)
+        n = np.bincount(slot, minlength=len(h))
+        bad = np.bincount(slot, np.concatenate([np.zeros(0), *own[1::2]]), minlength=len(h))
+        low = np.maximum(bad - np.sqrt(bad), 0.5)
+        ratio = (low / max(n_bad, 1)) / ((n - bad + 0.5) / max(n_all - n_bad, 1))
+        take = (bad >= LEAST_DOCS) & (ratio >= LEAST_RATIO)
+        keys.append(h[take])
+        values.append(np.log(ratio[take]).astype(np.float32))
+    order = np.argsort(np.concatenate(keys))
+    return np.concatenate(keys)[order], np.concatenate(values)[order]
 
 
 def _features(words: Words, model: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -189,16 +201,23 @@ def _marginals(words: Words, model: dict) -> np.ndarray:
     return _messages(rise, cut, np.exp(model["moves"]))[0]
 
 
-def _fit_field(words: Words, toxic: np.ndarray, model: dict, rounds: int = 60, rate: float = 2.0) -> None:
-    """Gradient ascent on the mean log likelihood of the token labels."""
+def _told(words: Words, toxic: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and chain starts of the chains that are fitted: those with
+    evidence, and an eighth of the others."""
     level, cut = _features(words, model)
     x = _design(level, cut, words.end - words.start)
     y = (toxic[words.doc] > 0) & (level > 0)
     chain = np.cumsum(cut) - 1
     told = np.bincount(chain, level > 0) > 0
-    told |= np.arange(len(told)) % 8 == 0  # chains without evidence count, an eighth suffices
-    use = told[chain]
-    x, y, cut = x[use], y[use], cut[use]
+    told |= np.arange(len(told)) % 8 == 0
+    use = told[chain] if len(chain) else np.zeros(0, bool)
+    return x[use], y[use], cut[use]
+
+
+def _fit_field(texts: list[str], toxic: np.ndarray, model: dict, rounds: int = 60, rate: float = 2.0) -> None:
+    """Gradient ascent on the mean log likelihood of the token labels."""
+    parts = [_told(words, toxic[i : i + words.n_docs], model) for i, words in _parts(texts)]
+    x, y, cut = (np.concatenate(p) for p in zip(*parts, strict=True))
     n = max(len(y), 1)
     inner = ~cut[1:]
     y_pairs = np.array([[np.sum(inner & (y[:-1] == i) & (y[1:] == j)) for j in (0, 1)] for i in (0, 1)])
@@ -254,13 +273,12 @@ def fit(sample: list[tuple[str, int]]) -> dict[str, Any]:
     texts, labels = [t for t, _ in sample], np.array([y for _, y in sample], np.int64)
     if not len(labels) or not labels.any():
         return {}
-    own = _apart(texts, labels)
+    own = np.flatnonzero(_apart(texts))
     model: dict[str, Any] = {}
-    lexicon = _tokens(pa.array([texts[i] for i in own]))
-    model["keys"], model["values"] = _lexicon(lexicon, labels[own])
-    words = _tokens(pa.array(texts))
-    _fit_field(words, labels, model)
-    model["score"] = _fit_score(_summary(words, _marginals(words, model)), labels.astype(float))
+    model["keys"], model["values"] = _lexicon([texts[i] for i in own], labels[own])
+    _fit_field(texts, labels, model)
+    x = np.concatenate([_summary(words, _marginals(words, model)) for _, words in _parts(texts)])
+    model["score"] = _fit_score(x, labels.astype(float))
     return model
 
 
