@@ -22,7 +22,7 @@ from .blocks import Words, other_bytes, slices, space_bytes
 from .tables import fold, without
 
 FOLDS = 3
-SAMPLE_ROWS = 6000  # labelled rows that the model is fitted on, at most
+SAMPLE_ROWS = 4000  # labelled rows that the model is fitted on, at most
 BUCKETS = 1 << 14
 FACTORS = 8
 STEPS = 8  # of each statistic, at quantiles of the sample
@@ -75,7 +75,7 @@ def _stats(words: Words, n_chars: np.ndarray) -> np.ndarray:
     )
 
 
-def _rows(texts: pa.Array, n_chars: np.ndarray, cuts: np.ndarray | None) -> tuple[Any, ...]:
+def _rows(texts: pa.Array, n_chars: np.ndarray) -> tuple[Any, ...]:
     """(doc, feature, value) of the hashed words, and the statistics."""
     stats = _stats(Words(texts, space_bytes()), n_chars)
     words = Words(pc.utf8_lower(texts.fill_null("").cast(pa.string())), other_bytes())
@@ -126,7 +126,12 @@ def fit(sample: list[tuple[str, float | None, int]], epochs: int = 8, batch: int
         return model
     model["v"] = rng.normal(0, 0.05, (N_FEATURES, FACTORS))
     n_chars = np.array([np.nan if r[1] is None else r[1] for r in sample], float)
-    doc, feature, value, stats = _rows(pa.array([r[0] for r in sample]), n_chars, None)
+    texts = pa.array([r[0] for r in sample], pa.string())
+    parts = []
+    for i, j in slices(texts):
+        own = _rows(texts.slice(i, j - i), n_chars[i:j])
+        parts.append((own[0] + i, own[1].astype(np.int32), own[2].astype(np.float32), own[3]))
+    doc, feature, value, stats = (np.concatenate(p) for p in zip(*parts, strict=True))
     model["cuts"] = np.quantile(stats, np.linspace(0, 1, STEPS + 2)[1:-1], axis=0).T
     steps = _steps(stats, model["cuts"])
     first = np.searchsorted(doc, np.arange(len(y) + 1))
@@ -163,7 +168,7 @@ def scorer(model: dict[str, Any]) -> Callable[[Column, Column], Column]:
         out = [np.zeros(0)]
         for i, j in slices(texts):
             meta = n_chars.slice(i, j - i).to_numpy(zero_copy_only=False).astype(float)
-            doc, feature, value, stats = _rows(texts.slice(i, j - i), meta, None)
+            doc, feature, value, stats = _rows(texts.slice(i, j - i), meta)
             z, _ = _z(small, doc, feature, value, _steps(stats, small["cuts"]))
             out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return pa.array(np.concatenate(out))
