@@ -266,6 +266,8 @@ def repeated_places(documents: DataFrame) -> DataFrame:
         .where("n > 1")
         .select("h", (F.col("_lo") != F.col("_hi")).alias("mixed"), (F.col("n") > MOST_PASSAGES).alias("hot"))
     )
+    # written, so that the join below meets two plain tables and a hot anchor is split
+    anchors = written(anchors, "repeat-anchors")
     # equal texts share their key and places
     spots = places.join(anchors, "h").groupBy("k").agg(
         F.collect_set(F.struct("place", "h", "r", "mixed", "hot")).alias("all")
