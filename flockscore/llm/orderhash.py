@@ -199,6 +199,7 @@ def duplicate_classes(documents: DataFrame) -> DataFrame:
     buckets = buckets.distinct().join(nodes.select("a", "b", "c"), ["a", "b"]).select("key", "c")
     buckets = written(buckets, "near-buckets")
     hubs = buckets.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = written(hubs, "near-hubs")  # a plain table, so that a hot bucket is split
     dealt = buckets.join(hubs, "key").withColumn(
         "part", F.pmod(F.xxhash64("c", "key"), F.ceil(F.col("n") / PART))
     )
