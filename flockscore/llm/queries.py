@@ -57,11 +57,12 @@ def op6_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_personal(documents, pii.learn(documents))
     kinds = F.transform(F.split("pii_base", ","), lambda s: F.split(s, ":")[0])
-    counts = [
-        F.size(F.filter(kinds, lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(kinds, lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts, F.sha2("pii_base", 256).alias("base_sha256"), F.col("pii_spans").alias("spans")
+        "doc_id", *map(count, pii.KINDS), F.sha2("pii_base", 256).alias("base_sha256"), F.col("pii_spans").alias("spans")
     )
 
 
