@@ -62,12 +62,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df
 
 
-def _spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
-    """A table in fewer splits than there are cores, dealt over all cores."""
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def _with_row_of(
     events: DataFrame, other: DataFrame, key: str, number: str
 ) -> DataFrame:
@@ -80,14 +74,12 @@ def _with_row_of(
 
 
 @once
-def posts(spark: SparkSession, sf: str, *, spread: bool = False) -> DataFrame:
-    """The live stream; ``spread`` for queries that work on the texts."""
+def posts(spark: SparkSession, sf: str) -> DataFrame:
+    """The live stream."""
     documents = table(spark, sf, "documents").select(
         "doc_id", "text", "lang", F.col("source").alias("doc_source")
     )
     events = table(spark, sf, "events")
-    if spread:
-        events = _spread(spark, events, "event_id")
     e = _with_row_of(events, documents, "doc_id", "event_id")
     number = F.col("event_id")
     mention = F.array(
@@ -235,6 +227,23 @@ def old_posts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@once
+def old_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and hashtags of the older posts; urgent ones carry a link."""
+    pages = table(spark, sf, "pages").select("page_id", F.col("url").alias("_url"))
+    orders = _with_row_of(table(spark, sf, "orders"), pages, "page_id", "o_orderkey")
+    link = F.struct(
+        *[F.col("_url").alias(n) for n in ("display_url", "expanded_url", "url", "text")]
+    )
+    linked = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    tags = F.array("o_orderstatus", "o_orderpriority")
+    return orders.select(
+        F.col("o_custkey").alias("status_user_id"),
+        F.when(linked, F.array(link)).alias("urls"),
+        F.transform(tags, lambda t: F.struct(t.alias("text"))).alias("hashtags"),
+    )
+
+
 @once
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """The fetched history: the stream's posts once more, and older ones."""
@@ -328,7 +337,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "text", F.col("lang").alias("doc_lang"), "source"
     )
     pages = table(spark, sf, "pages").select("page_id", "url")
-    events = _spread(spark, table(spark, sf, "events"), "event_id")
+    events = table(spark, sf, "events")
     e = _with_row_of(events, documents, "doc_id", "event_id")
     e = _with_row_of(e, pages, "page_id", "event_id")
     profiles = accounts(spark, sf).select(

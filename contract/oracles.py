@@ -5,12 +5,45 @@ from __future__ import annotations
 
 import re
 
-from flockscore.plans.registry import BATCH_KPIS, STAGE1_KPIS, STAGE2_KPIS
-from flockscore.plans.texts import (
-    FOLLOWER_PHRASES,
-    FOLLOWER_STOPWORDS,
-    TOPIC_PHRASES,
-    TOPIC_STOPWORDS,
+# Fixed values, stated here once more: a wrong list in the library must show.
+STAGE1_KPIS = (
+    "PROFILEAGE",
+    "NAMDESCLEN",
+    "ANZFOLLOW",
+    "TWEETMENTION",
+    "DECILPOSTS",
+    "LANGUSERTWEETS",
+    "TWEETFREQ",
+)
+STAGE2_KPIS = (
+    "STATUSFREQUENCY",
+    "REACTIONTIME",
+    "TWEETLANGS",
+    "TWEETFREQ",
+    "TWEETCOUNT",
+)
+BATCH_KPIS = (
+    "PROFILEAGE",
+    "NAMDESCLEN",
+    "ANZFOLLOW",
+    "TWEETMENTION",
+    "DECILPOSTS",
+    "LANGUSERTWEETS",
+    "TWEETFREQ",
+    "STATUSFREQUENCY",
+    "REACTIONTIME",
+    "TWEETLANGS",
+    "TWEETCOUNT",
+    "SOURCEQUALIFICATION",
+)
+TOPIC_PHRASES = ("/", "@", "|", "#afd", "#", "https", "http", "tco", "...")
+TOPIC_STOPWORDS = ("tco", "nein", "los", "afd", "erst", "the", "you", "dass")
+FOLLOWER_PHRASES = (
+    "https://t.co/", "http://t.co/", "http://", "https://", "@", "|", "#", "...",
+)
+FOLLOWER_STOPWORDS = (
+    "tco", "nein", "los", "erst", "the", "you", "dass", "and", "for", "mal", "via",
+    "with", "https", "http", "this",
 )
 
 CTES: dict[str, str] = {}
@@ -39,6 +72,14 @@ CTES["links"] = """
 CTES["tags"] = """
     select status_user_id as userid, unnest([status_source, second_tag]) as tag
     from posts"""
+CTES["old_links"] = """
+    select o.o_custkey as userid, g.url
+    from orders o, (select count(*) as size from pages) n
+    join pages g on g.page_id = o.o_orderkey % n.size
+    where o.o_orderpriority in ('1-URGENT', '2-HIGH')"""
+CTES["old_tags"] = """
+    select o_custkey as userid, unnest([o_orderstatus, o_orderpriority]) as tag
+    from orders"""
 CTES["accounts"] = """
     select c_custkey as id,
            case when c_custkey % 6 = 0 then substr(c_mktsegment, 1, 5)
@@ -362,21 +403,17 @@ CTES["listed_posts"] = """
     where p.status_text not like '%#gameinsight%'"""
 
 
-def bounded_text(source: str, keys: str, max_chars: int) -> str:
-    by = f"{keys}, is_bot" if keys else "is_bot"
-    out = f"{keys}," if keys else ""
+def text_parts(source: str, by: str, part_chars: int = 2_000_000) -> str:
+    order = "minute, lane, created_at, id"
     return f"""
-    select {out}
-           left(string_agg(t, ' ' order by created_at, id) filter (is_bot),
-                {max_chars}) as bottweets,
-           left(string_agg(t, ' ' order by created_at, id) filter (not is_bot),
-                {max_chars}) as notbottweets
-    from (select *, sum(length(t) + 1) over (partition by {by}
-                     order by created_at, id
-                     rows between unbounded preceding and 1 preceding) as start
-          from (select *, lower(status_text) as t from {source}))
-    where coalesce(start, 0) < {max_chars}
-    {"group by " + keys if keys else ""}"""
+    select {by}, part, string_agg(t, ' ' order by {order}) as text
+    from (select *, cast(floor(coalesce(start, 0) / {part_chars}) as bigint) as part
+          from (select *, sum(length(t) + 1) over (partition by {by} order by {order}
+                         rows between unbounded preceding and 1 preceding) as start
+                from (select *, lower(status_text) as t, id % 64 as lane,
+                             date_trunc('minute', created_at) as minute
+                      from {source} where status_text is not null)))
+    group by {by}, part"""
 
 
 def _without(text: str, words) -> str:

@@ -13,6 +13,7 @@ from flockscore import operators as op
 from flockscore.plans import reports, texts
 from flockscore.plans import score as sc
 from flockscore.plans.registry import BATCH, PERUSER
+from flockscore.schemas import CHALLENGE
 from flockscore.session import materialise, run_dir
 from flockscore.sources import normalise as norm
 from flockscore.sources import tables
@@ -217,6 +218,28 @@ def _(spark, sf):
     return op.kpi_tweetcount(*fx.both(spark, sf).statuses)
 
 
+@query("kpi_tweetcount_both_5", kpi(f"({sql.tweetcount(5, both=True)})"))
+def _(spark, sf):
+    return op.kpi_tweetcount(*fx.both(spark, sf).statuses, per_day=5)
+
+
+@query(
+    "kpi_tweetfreq_both_600s",
+    kpi(f"({sql.tweetfreq(600, both=True)})", "botscore mingap"),
+)
+def _(spark, sf):
+    return op.kpi_tweetfreq(*fx.both(spark, sf).statuses, seconds=600)
+
+
+@query(
+    "kpi_reactiontime_self",
+    kpi("k_reactiontime_self", GAPS, "userid anzawzeit"),
+)
+def _(spark, sf):
+    inputs = (fx.posts(spark, sf), fx.users(spark, sf))
+    return op.kpi_reactiontime(inputs, self_only=True)
+
+
 @query("kpi_sourcequalification", kpi("k_sourcequalification"))
 def _(spark, sf):
     return op.kpi_sourcequalification(fx.posts(spark, sf), fx.source_q(spark))
@@ -351,6 +374,15 @@ def _(spark, sf):
     return sc.score(fx.live(spark, sf), _listed(spark, sf), PERUSER)
 
 
+@query(
+    "score_one_account",
+    rounded("single_score where userid = 7", "totalscore", "userid"),
+)
+def _(spark, sf):
+    one = _listed(spark, sf).where("userid = 7")
+    return sc.score(sc.of_account(fx.live(spark, sf), 7), one, PERUSER)
+
+
 WRITE_BACK = """
     select c.user_id, c.parent_screen_name, c.parent_id,
            round(if(s.userid is null, c.botscore, s.totalscore), 9) as botscore,
@@ -475,42 +507,40 @@ def _(spark, sf):
 
 @query(
     "top_urls",
-    """select url, count(distinct userid) as urlanz from links
+    """select url, count(distinct userid) as urlanz
+       from (select * from links union all select * from old_links)
        where userid in (select userid from bots2) and url is not null
        group by url order by urlanz desc, url limit 30""",
 )
 def _(spark, sf):
     linked = fx.posts_with_urls(spark, sf).select("status_user_id", "urls")
-    # the history repeats the links of the stream
-    return reports.top_urls([linked, linked], stage2_bots(spark, sf))
+    older = fx.old_entities(spark, sf).select("status_user_id", "urls")
+    return reports.top_urls([linked, older], stage2_bots(spark, sf))
 
 
 @query(
     "top_hashtags",
-    """select tag as httext, count(distinct userid) as htanz from tags
+    """select tag as httext, count(distinct userid) as htanz
+       from (select * from tags union all select * from old_tags)
        where userid in (select userid from bots2) and tag is not null
        group by tag order by htanz desc, tag limit 30""",
 )
 def _(spark, sf):
     tagged = fx.posts(spark, sf).select("status_user_id", "hashtags")
-    return reports.top_hashtags([tagged, tagged], stage2_bots(spark, sf))
+    older = fx.old_entities(spark, sf).select("status_user_id", "hashtags")
+    return reports.top_hashtags([tagged, older], stage2_bots(spark, sf))
 
 
-@query(
-    "topic_text_bounded",
-    sql.bounded_text("topic_posts", "track_topics", texts.MAX_CHARS),
-)
+@query("topic_text", sql.text_parts("topic_posts", "track_topics, is_bot"))
 def _(spark, sf):
     return texts.topic_text(
-        fx.posts(spark, sf, spread=True),
-        fx.session(spark),
-        stage1_bots(spark, sf),
+        fx.posts(spark, sf), fx.session(spark), stage1_bots(spark, sf)
     )
 
 
-@query("challenge_text_bounded", sql.bounded_text("listed_posts", "", texts.MAX_CHARS))
+@query("challenge_text", sql.text_parts("listed_posts", "is_bot"))
 def _(spark, sf):
-    posts = fx.posts(spark, sf, spread=True)
+    posts = fx.posts(spark, sf)
     return texts.challenge_text(posts, fx.challenge(spark, sf))
 
 
@@ -522,21 +552,21 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return texts.tagged_bot_posts(
-        fx.posts(spark, sf, spread=True), fx.challenge(spark, sf), tag="gameinsight"
+        fx.posts(spark, sf), fx.challenge(spark, sf), tag="gameinsight"
     )
 
 
 @query("term_frequencies", sql.TOPIC_TERMS)
 def _(spark, sf):
     posts = texts.topic_posts(
-        fx.posts(spark, sf, spread=True), fx.session(spark), stage1_bots(spark, sf)
+        fx.posts(spark, sf), fx.session(spark), stage1_bots(spark, sf)
     )
     return texts.term_frequencies(posts, stopwords=WORDS)
 
 
 @query("term_frequencies_followers", sql.FOLLOWER_TERMS)
 def _(spark, sf):
-    posts = fx.posts(spark, sf, spread=True)
+    posts = fx.posts(spark, sf)
     posts = texts.challenge_posts(posts, fx.challenge(spark, sf))
     return texts.term_frequencies(
         posts,
@@ -572,9 +602,12 @@ def _(spark, sf):
 
 def histogram(source: str, column: str) -> str:
     return f"""
-    select cast(greatest(ceil(round({column} * 100, 6)), 1) as bigint) as bin,
+    select if({column} between 0 and 1,
+              cast(greatest(ceil(round({column} * 100, 6)), 1) as bigint), null) as bin,
+           case when {column} < 0 then 'below' when {column} > 1 then 'above'
+                when {column} is null then 'unknown' else 'inside' end as place,
            if({column} > 0.5, 'Bot', 'Kein Bot') as botflag, count(*) as anz
-    from {source} where {column} between 0 and 1 group by 1, 2"""
+    from {source} group by 1, 2, 3"""
 
 
 @query("score_histogram", histogram("stage1_total", "totalbotscore"))
@@ -649,7 +682,7 @@ ADMITTED = f"""select id, status_user_id, lang
 
 def _admitted(spark, sf, language=None):
     admitted = admit(
-        fx.posts(spark, sf, spread=True),
+        fx.posts(spark, sf),
         follow=FOLLOW,
         track=TRACK,
         language=language,
@@ -703,15 +736,16 @@ def _(spark, sf):
 
 @query(
     "normalise_users",
-    """select id, screen_name, description, created_at, lang,
+    """select a.id, p.id as status_id, screen_name, description, a.created_at, a.lang,
               cast(followers_count as bigint) as followers_count,
               cast(friends_count as bigint) as friends_count,
               cast(coalesce(utcoffset, -1) as bigint) as utcoffset
-       from accounts where id in (select status_user_id from posts)""",
+       from accounts a join posts p on p.status_user_id = a.id""",
 )
 def _(spark, sf):
     return norm.user_snapshots(_prepared(spark, sf)).select(
         "id",
+        "status_id",
         "screen_name",
         "description",
         "created_at",
@@ -792,6 +826,17 @@ def _(spark, sf):
     return tables.read_challenge(spark, path)
 
 
+@query(
+    "challenge_backup",
+    """select user_id, parent_screen_name, parent_id, round(botscore, 9) as botscore,
+              maxtweetid from challenge""",
+)
+def _(spark, sf):
+    path = run_dir(spark, "challenge-backup")
+    tables.backup_challenge(fx.challenge(spark, sf), path)
+    return spark.read.schema(CHALLENGE).options(sep=",", header=True).csv(path)
+
+
 @query(
     "csv_new_sources",
     """select status_source as source, 'new; "unseen"' as comment,
@@ -819,9 +864,10 @@ def _(spark, sf):
 
 @query(
     "reset_counts",
-    """select 'status' as tabelle, cast(0 as bigint) as anz
-       union all select 'users', 0
-       union all select 'challenge', count(*) from challenge""",
+    """select 'status' as tabelle, count(*) as anz, cast(0 as bigint) as anz_nachher
+       from old_posts
+       union all select 'users', count(*), 0 from users
+       union all select 'challenge', count(*), count(*) from challenge""",
 )
 def _(spark, sf):
     frames = {
@@ -829,7 +875,9 @@ def _(spark, sf):
         "users": fx.users(spark, sf),
         "challenge": fx.challenge(spark, sf),
     }
-    return tables.row_counts(tables.reset_facts(frames, run_dir(spark, "reset")))
+    after = tables.row_counts(tables.reset_facts(frames, run_dir(spark, "reset")))
+    after = after.withColumnRenamed("anz", "anz_nachher")
+    return tables.row_counts(frames).join(after, "tabelle")
 
 
 # ------------------------------------------------------------- streaming

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 1_000
 SPREAD = 64
-LOOKUP_ROWS = 100_000
 
 
 def count_rows() -> Column:
@@ -63,25 +62,13 @@ def spread_join(
     ).drop("_salt")
 
 
-def is_small(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> bool:
-    """Counts at most ``max_rows`` + 1 rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    *,
-    spread_by: list[str],
-    how: str = "left",
-    max_rows: int = LOOKUP_ROWS,
+    facts: DataFrame, lookup: DataFrame, key: str, *, how: str = "left"
 ) -> DataFrame:
-    """Join a reference table that is expected to be small.
+    """Join a reference table.
 
-    Its rows are counted and it is only broadcast within ``max_rows``; a larger
-    one is joined with spread hot keys.
+    The statistics of the tables, or of their shuffles as they run, decide
+    whether it is broadcast; else adaptive execution splits the hot keys of
+    ``facts``. Nothing runs while the plan is built.
     """
-    if is_small(lookup, max_rows):
-        return facts.join(F.broadcast(lookup), key, how)
-    return spread_join(facts, lookup, key, spread_by=spread_by, how=how)
+    return facts.join(lookup, key, how)

@@ -33,8 +33,11 @@ def with_author(status: DataFrame, users: DataFrame) -> DataFrame:
         "session_id",
         F.col("lang").alias("profile_lang"),
         "utcoffset",
+        *([F.col("status_id").alias("id")] if "status_id" in users.columns else []),
     )
-    return posts.join(author, SNAPSHOT_KEY)
+    # snapshots that name their post belong to it alone
+    more = ["id"] if "status_id" in users.columns else []
+    return posts.join(author, [*SNAPSHOT_KEY, *more])
 
 
 def local_posts(*datasets: tuple[DataFrame, DataFrame]) -> DataFrame:

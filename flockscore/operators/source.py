@@ -18,7 +18,7 @@ def source_facts(status: DataFrame, source_q: DataFrame) -> DataFrame:
     )
     known = source_q.select("source", "botscore", "kobotscore")
     return (
-        lookup_join(posts, known, "source", spread_by=["id"])
+        lookup_join(posts, known, "source")
         .groupBy("id")
         .agg(
             F.min("status_user_id").alias("userid"),

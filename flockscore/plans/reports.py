@@ -17,7 +17,6 @@ from flockscore.functions.joins import count_rows, lookup_join
 
 CUT = 0.5
 TOP = 30
-BOT_ROWS = 2_000_000
 PROFILE_URL = "https://twitter.com/"
 
 
@@ -48,7 +47,7 @@ def bots_per_topic(
     ).distinct()
     marked = _mark_bots(accounts, bots)
     return (
-        lookup_join(marked, _topics(session), "session_id", spread_by=["userid"])
+        lookup_join(marked, _topics(session), "session_id")
         .groupBy("track_topics", "userid")
         .agg(F.max("is_bot").alias("is_bot"))
         .groupBy("track_topics")
@@ -70,7 +69,7 @@ def counts_per_day(
         "session_id",
     )
     per_user = (
-        lookup_join(posts, _topics(session), "session_id", spread_by=["id"])
+        lookup_join(posts, _topics(session), "session_id")
         .select("track_topics", "tweetdatum", "userid", "id")
         .distinct()
         .groupBy("track_topics", "tweetdatum", "userid")
@@ -92,27 +91,20 @@ def counts_per_day(
 def _top_values(
     statuses: list[DataFrame], bots: DataFrame, entity: Column, name: str, n: int
 ) -> DataFrame:
-    pairs = reduce(
+    posts = reduce(
         DataFrame.unionByName,
         [
-            s.select(
-                F.col("status_user_id").alias("userid"),
-                F.explode(entity).alias("value"),
-            )
+            s.select(F.col("status_user_id").alias("userid"), entity.alias("values"))
             for s in statuses
         ],
     )
-    pairs = pairs.where(F.col("value").isNotNull()).distinct()
-    by_bots = lookup_join(
-        pairs,
-        bots.select("userid"),
-        "userid",
-        spread_by=["value"],
-        how="left_semi",
-        max_rows=BOT_ROWS,
-    )
+    # only posts of bots reach the shuffle of the distinct pairs
+    by_bots = lookup_join(posts, bots.select("userid"), "userid", how="left_semi")
+    pairs = by_bots.select("userid", F.explode("values").alias("value"))
     return (
-        by_bots.groupBy(F.col("value").alias(name))
+        pairs.where(F.col("value").isNotNull())
+        .distinct()
+        .groupBy(F.col("value").alias(name))
         .agg(count_rows().alias("anz"))
         .orderBy(F.desc("anz"), name)
         .limit(n)
@@ -160,9 +152,7 @@ def collection_stats(status: DataFrame, session: DataFrame) -> DataFrame:
     """Per topic first and last recording day, posts and accounts."""
     posts = status.select("id", "status_user_id", "session_id", "recorded_at")
     topics = _topics(session)
-    posts = lookup_join(
-        posts, topics, "session_id", spread_by=["id"], how="inner"
-    )
+    posts = lookup_join(posts, topics, "session_id", how="inner")
     return _stats(posts, ["track_topics"], "recorded_at")
 
 
@@ -182,14 +172,18 @@ def score_histogram(
 ) -> DataFrame:
     """Accounts per bin of the score; bins are closed on the right.
 
-    Scores outside of [0, 1] fall into no bin.
+    ``place`` tells scores in [0, 1] from those below, above and unknown, which
+    have no bin; the numbers add up to the rows of ``scores``.
     """
     score = F.col(column)
-    step = F.ceil(F.round(score / width, 9))
+    step = F.greatest(F.ceil(F.round(score / width, 9)), F.lit(1))
+    place = (
+        F.when(score < 0, "below").when(score > 1, "above").when(score.isNull(), "unknown")
+    )
     return (
-        scores.where(score.between(0, 1))
-        .groupBy(
-            F.greatest(step, F.lit(1)).alias("bin"),
+        scores.groupBy(
+            F.when(score.between(0, 1), step).alias("bin"),
+            F.coalesce(place, F.lit("inside")).alias("place"),
             bot_flag(score, cut).alias("botflag"),
         )
         .agg(count_rows().alias("anz"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,16 @@ def local_session(cores: int | str = "*", app: str = "flockscore") -> SparkSessi
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor reaches, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests on one machine) a local folder
-    stands in for it.
+    Without the setting a folder of this machine stands in for it, but only where
+    driver and executors are one process; on a cluster that is an error, as
+    executors could not read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir: {master} needs a shared folder")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="flockscore-")

@@ -113,9 +113,9 @@ def statuses(t: DataFrame) -> DataFrame:
 
 
 def user_snapshots(t: DataFrame) -> DataFrame:
-    """One profile snapshot per account, arrival time and session.
+    """One profile snapshot per post, keyed by the post.
 
-    Where several tweets of an account arrive together, the newest one speaks.
+    How many posts arrive together has no influence on the snapshots.
     """
     u = F.col("user")
     profile_urls = _profile_urls()
@@ -151,11 +151,9 @@ def user_snapshots(t: DataFrame) -> DataFrame:
         _group_key("user_url", profile_urls).alias("urlentity_id"),
         _group_key("description_url", about_urls).alias("descurlentity_id"),
     )
-    return (
-        t.where(u["id"].isNotNull())
-        .groupBy(u["id"].alias("id"), "recorded_at", "session_id")
-        .agg(F.max_by(snapshot, "status_id").alias("snapshot"))
-        .select("id", "recorded_at", "session_id", "snapshot.*")
+    known = t.where(u["id"].isNotNull())
+    return known.select(u["id"].alias("id"), *KEY, snapshot.alias("snapshot")).select(
+        "id", *KEY, "snapshot.*"
     )
 
 

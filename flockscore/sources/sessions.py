@@ -9,13 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flockscore.schemas import SESSION
 
-LONGEST = 4_000
-
 
 def _joined(values: Sequence[object]) -> str:
-    """Comma-separated; cut to 3,999 characters when it does not fit."""
-    text = ",".join(str(value).strip() for value in values)
-    return text if len(text) + 1 <= LONGEST else text[: LONGEST - 1]
+    """Comma-separated, whole."""
+    return ",".join(str(value).strip() for value in values)
 
 
 def session_row(

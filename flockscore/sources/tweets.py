@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flockscore.functions.words import whole_words
+from flockscore.functions.words import tokens_of, whole_words
 from flockscore.schemas import CORRUPT, TWEET_JSON
 
-MAX_TRACK = 400
-MAX_FOLLOW = 5_000
 
 
 def read_tweets(
@@ -47,11 +46,27 @@ def message_kind(tweets: DataFrame) -> Column:
     return kind.when(F.col("id").isNotNull(), "status").otherwise("corrupt")
 
 
-def split_list(value: str | None, limit: int) -> list[str]:
-    """Trimmed parts of a comma-separated setting, at most ``limit``."""
+def split_list(value: str | None) -> list[str]:
+    """Trimmed parts of a comma-separated setting."""
     if value is None or not value.strip():
         return []
-    return [part.strip() for part in value.split(",")[:limit]]
+    return [part.strip() for part in value.split(",")]
+
+
+def _has_term(text: Column, tokens: Column, terms: Sequence[str]) -> Column:
+    """Whether any of the terms occurs.
+
+    Terms that are a token are looked up among the tokens of the text, which are
+    cut once; any other term needs a search of its own.
+    """
+    plain = [t for t in terms if re.fullmatch(r"\w+", t)]
+    marked = [t for t in terms if re.fullmatch(r"[#@]\w+", t)]
+    forms = [mark + t for t in plain for mark in ("", "#", "@")] + marked
+    found = F.lit(False)
+    if forms:
+        found = F.arrays_overlap(tokens, F.array(*map(F.lit, dict.fromkeys(forms))))
+    other = [t for t in terms if not re.fullmatch(r"[#@]?\w+", t)]
+    return found | text.rlike(whole_words(other)) if other else found
 
 
 def tracks(text: Column, phrases: Sequence[str]) -> Column:
@@ -61,18 +76,13 @@ def tracks(text: Column, phrases: Sequence[str]) -> Column:
     term with ``#`` or ``@`` only matches as such.
     """
     text = F.lower(text)
+    tokens = tokens_of(text)
     terms = [phrase.lower().split() for phrase in phrases]
-    found = F.lit(False)
     single = [words[0] for words in terms if len(words) == 1]
-    if single:
-        found = text.rlike(whole_words(single))
+    found = _has_term(text, tokens, single) if single else F.lit(False)
     for words in terms:
         if len(words) > 1:
-            # the cheap search rules out most texts
-            every = [
-                F.contains(text, F.lit(word)) & text.rlike(whole_words([word]))
-                for word in words
-            ]
+            every = [_has_term(text, tokens, [word]) for word in words]
             found = found | reduce(Column.__and__, every)
     return F.coalesce(found, F.lit(False))
 
@@ -86,14 +96,11 @@ def admit(
     author: str = "user.id",
     text: str = "text",
 ) -> DataFrame:
-    """Tweets by followed accounts or with a tracked phrase, in a language.
-
-    At most 5,000 accounts and 400 phrases are used, as the stream allows.
-    """
+    """Tweets by followed accounts or with a tracked phrase, in a language."""
     if not follow and not track:
         raise ValueError("give accounts to follow or phrases to track")
-    followed = F.col(author).isin([int(f) for f in follow[:MAX_FOLLOW]])
-    wanted = followed | tracks(F.col(text), track[:MAX_TRACK])
+    followed = F.col(author).isin([int(f) for f in follow])
+    wanted = followed | tracks(F.col(text), track) if track else followed
     if language:
         wanted = wanted & (F.col("lang") == language)
     return tweets.where(F.coalesce(wanted, F.lit(False)))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flockscore.functions.joins import is_small
 from flockscore.plans.registry import PERUSER, Inputs
 from flockscore.plans.score import accounts_of, score, write_back
 from flockscore.streaming.ingest import BATCH, BUCKET, user_bucket, write_batch
@@ -37,9 +36,11 @@ def rescore_batch(
 ) -> DataFrame:
     """New scores of the touched accounts from their whole history."""
     status, users = history()
-    few = F.broadcast(touched) if is_small(touched) else touched
     inputs = Inputs(
-        _own(status, few, "status_user_id"), _own(users, few, "id"), as_of, source_q
+        _own(status, touched, "status_user_id"),
+        _own(users, touched, "id"),
+        as_of,
+        source_q,
     )
     return score(inputs, touched, PERUSER)
 

@@ -68,12 +68,15 @@ def test_statistics(spark):
 
 
 def test_histogram_bins_close_on_the_right(spark):
-    values = [0.0, 0.01, 0.011, 0.29, 0.5, 0.51, 1.0, 1.2, None]
+    values = [0.0, 0.01, 0.011, 0.29, 0.5, 0.51, 1.0, 1.2, -0.1, None]
     frame = spark.createDataFrame([(v,) for v in values], "s double")
     assert rows(reports.score_histogram(frame, "s")) == sorted(
         [
-            (1, "Kein Bot", 2), (2, "Kein Bot", 1), (29, "Kein Bot", 1),
-            (50, "Kein Bot", 1), (51, "Bot", 1), (100, "Bot", 1),
+            (1, "inside", "Kein Bot", 2), (2, "inside", "Kein Bot", 1),
+            (29, "inside", "Kein Bot", 1), (50, "inside", "Kein Bot", 1),
+            (51, "inside", "Bot", 1), (100, "inside", "Bot", 1),
+            (None, "above", "Bot", 1), (None, "unknown", "Kein Bot", 1),
+            (None, "below", "Kein Bot", 1),
         ],
         key=str,
     )
@@ -105,39 +108,36 @@ def test_sources(spark):
     assert rows(reports.all_sources([posts])) == [("a", 1), ("b", 2), (None, 1)]
 
 
-def test_bounded_text(spark, bots):
+def test_text_in_parts(spark, bots):
     posts = status(
         spark,
-        {"id": 3, "u": 1, "t": 0, "text": "CC"},
+        {"id": 66, "u": 1, "t": 0, "text": "CC"},
         {"id": 2, "u": 1, "t": 0, "text": "bb"},
         {"id": 4, "u": 1, "t": 70, "text": "dd"},
         {"id": 5, "u": 1, "t": 71, "text": "ee"},
         {"id": 6, "u": 2, "t": 1, "text": None},
-        {"id": 7, "u": 2, "t": 1, "session": 1, "text": None},
         {"id": 8, "u": 2, "t": 1, "session": 1, "text": "zz"},
     )
     topics = session(spark, "#a", "#b")
-    for few in (True, False):
-        got = texts.bounded_text(
-            texts.topic_posts(posts, topics, bots),
-            ["track_topics"],
-            max_chars=7,
-            few_groups=few,
-        )
-        assert rows(got) == [("#a", "bb cc d", None), ("#b", None, "zz")]
-
-
-@pytest.mark.parametrize("cap", [1, 5, 40, 333, 100_000])
-def test_bounded_text_equals_prefix(spark, bots, cap):
+    got = texts.topic_text(posts, topics, bots, part_chars=7)
+    assert rows(got) == [
+        ("#a", True, 0, "bb cc dd"), ("#a", True, 1, "ee"), ("#b", False, 0, "zz"),
+    ]
+
+
+@pytest.mark.parametrize("part", [1, 5, 40, 333, 100_000])
+def test_parts_hold_all_text_in_order(spark, bots, part):
     words = [f"w{n % 17}" * (n % 5 + 1) for n in range(300)]
     posts = status(
         spark,
         *[{"id": n, "t": n * 7 % 900, "text": w} for n, w in enumerate(words)],
     )
-    order = sorted(range(300), key=lambda n: (n * 7 % 900, n))
-    expected = " ".join(words[n] for n in order)[:cap]
-    got = texts.topic_text(posts, session(spark, "#a"), bots, max_chars=cap)
-    assert rows(got) == [("#a", expected, None)]
+    order = sorted(range(300), key=lambda n: (n * 7 % 900 // 60, n % 64, n * 7 % 900, n))
+    got = texts.topic_text(posts, session(spark, "#a"), bots, part_chars=part).collect()
+    found = " ".join(r.text for r in sorted(got, key=lambda r: r.part))
+    assert found == " ".join(words[n] for n in order)
+    longest = max(map(len, words))
+    assert all(len(r.text) <= part + longest for r in got)
 
 
 def test_listed_accounts_text(spark):
@@ -149,7 +149,9 @@ def test_listed_accounts_text(spark):
         {"u": 3, "text": "three"},
     )
     listed = challenge(spark, (1, 0.9), (2, None), (2, 0.1))
-    assert rows(texts.challenge_text(posts, listed)) == [("one", "two two")]
+    assert rows(texts.challenge_text(posts, listed)) == [
+        (False, 0, "two two"), (True, 0, "one"),
+    ]
     assert rows(texts.tagged_bot_posts(posts, listed)) == [(1,)]
 
 

@@ -117,11 +117,10 @@ def test_user_links(tweets):
     assert sorted(kinds) == ["description_url", "url", "url"]
 
 
-def test_one_snapshot_per_arrival(tweets):
-    got = tables_of(tweets)["users"].collect()
-    assert len(got) == 1
-    # the newest tweet of the account speaks
-    assert got[0].screen_name == "new" and got[0].utcoffset == -1
+def test_one_snapshot_per_post(tweets):
+    got = {r.status_id: r for r in tables_of(tweets)["users"].collect()}
+    assert {i: r.screen_name for i, r in got.items()} == {77: "ann", 78: "new"}
+    assert got[78].utcoffset == -1 and {r.id for r in got.values()} == {9}
 
 
 def test_keys_are_stable(tweets):
@@ -173,13 +172,17 @@ def test_admission(spark):
     assert ids(track=["#btw17"]) == [4]
     assert ids(track=["one two"]) == [6]
     assert ids(follow=[1], track=["#BTW17", "one two"]) == [1, 4, 6]
+    # no list is cut
+    assert ids(follow=range(10_000, 3_990, -1)) == []
+    assert ids(follow=[*range(10, 6_010), 1]) == [1]
+    assert ids(track=[*(f"nothing{n}" for n in range(500)), "wahl"]) == [2, 8]
     with pytest.raises(ValueError):
         ids()
 
 
 def test_lists_in_settings():
-    assert split_list(" a, b ,c", 2) == ["a", "b"]
-    assert split_list("  ", 2) == [] and split_list(None, 2) == []
+    assert split_list(" a, b ,c") == ["a", "b", "c"]
+    assert split_list("  ") == [] and split_list(None) == []
 
 
 def test_sessions(spark, tmp_path):
@@ -190,10 +193,8 @@ def test_sessions(spark, tmp_path):
     assert [tuple(r) for r in row] == [(new, "#a,#b", "1,2", "streaming")]
     with pytest.raises(ValueError):
         sessions.open_session(spark, path)
-    long = sessions.session_row(spark, 1, track=["x" * 9] * 401).first()
-    assert len(long.track_topics) == 3_999
-    fits = sessions.session_row(spark, 1, track=["x" * 9] * 400).first()
-    assert len(fits.track_topics) == 3_999
+    long = sessions.session_row(spark, 1, track=["x" * 9] * 900).first()
+    assert long.track_topics == ",".join(["x" * 9] * 900)
 
 
 def test_csv(spark, tmp_path):
