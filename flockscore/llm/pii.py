@@ -222,6 +222,8 @@ def boosted(model: dict[str, Any], x: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str, str, str, str, bool]]) -> dict[str, Any]:
     """Trees and thresholds; without examples of both labels nothing is added."""
+    if not rows:
+        return {}
     x, y, kinds = examples(rows)
     if len(set(y)) < 2:
         return {}
