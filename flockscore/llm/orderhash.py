@@ -6,16 +6,23 @@ picks the ``PICKED`` smallest labelled k-mers, and their hash in text order is a
 key: documents share a key if they share those k-mers in that order. A key of
 twice as many k-mers splits the buckets that a common passage fills.
 
-Candidates are each member of a bucket with the bucket's smallest member, and the
-members of a part with one another: a bucket is dealt into parts of about ``PART``
-members, other ones under each key. So their number follows the input and not the
-square of a bucket. They are verified by
-alignment: the longest chain of k-mers that both documents have in the same order,
-within the band that the threshold allows, over all k-mers of both less the chain.
-``SIMILARITY`` or more links them. It equals the Jaccard similarity of the k-mers
-where the order is kept.
-
-Documents with equal words are one node. Nodes that a first round of alignments has
+Candidates come in two rounds. First each member of a bucket meets the bucket's
+smallest one. Then the buckets that still hold several classes are compared within:
+a pair of different classes is a candidate if the bounds below allow it the
+threshold. Buckets of up to ``PART`` members are compared whole; larger ones are
+dealt into parts of about ``PART``, other ones under each key, so that the work
+follows the input and not the square of a bucket.
+
+The bounds drop no pair that could be linked: the chain is no longer than the
+shorter text, and each k-mer outside the chain changes one of ``BINS`` counts by
+one, so the distance of two texts' counts can't exceed their unmatched k-mers.
+
+Candidates are verified by alignment: the longest chain of k-mers that both
+documents have in the same order, within the band that the threshold allows, over
+all k-mers of both less the chain. ``SIMILARITY`` or more links them. It equals the
+Jaccard similarity of the k-mers where the order is kept.
+
+Documents with equal words are one node. Nodes that earlier alignments have
 joined are not compared again: it could not change the classes.
 """
 
@@ -39,7 +46,8 @@ KMER = 5
 SIMILARITY = 0.8
 SKETCHES = 12
 PICKED = 3
-PART = 6
+PART = 256
+BINS = 128
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -135,6 +143,61 @@ def sequences(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+@F.arrow_udf(T.BinaryType())
+def bins(sequences: pa.Array) -> pa.Array:
+    """How many k-mers fall into each of ``BINS``, at most 255 of each."""
+    out = []
+    for x in sequences:
+        counts = np.bincount(np.frombuffer(x.as_py(), np.uint32) % BINS, minlength=BINS)
+        out.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def least_chain(total: np.ndarray, least: float) -> np.ndarray:
+    """The shortest chain that gives two sequences of ``total`` k-mers ``least``."""
+    return np.ceil(least / (1 + least) * total - 1e-9).astype(np.int64)
+
+
+def possible_pairs(lengths: np.ndarray, counts: np.ndarray, classes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of different classes that lengths and bins allow ``least``."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    counts = counts.astype(np.int16)
+    for i in range(len(lengths) - 1):
+        n, m = lengths[i], lengths[i + 1 :]
+        needed = least_chain(n + m, least)
+        j = np.flatnonzero((classes[i + 1 :] != classes[i]) & (np.minimum(n, m) >= needed))
+        apart = np.abs(counts[i + 1 + j] - counts[i]).sum(1, dtype=np.int64)
+        j = j[apart <= (n + m - 2 * needed)[j]]
+        left.append(np.full(len(j), i))
+        right.append(i + 1 + j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _within_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, hub) of the possible pairs of each part; rows come in the order of parts."""
+    now: tuple[int, int] | None = None
+    held: list[tuple[int, int, int, bytes]] = []
+
+    def pairs() -> pa.RecordBatch:
+        c, classes, lengths = (np.array([r[k] for r in held], np.int64) for k in range(3))
+        counts = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), BINS)
+        i, j = possible_pairs(lengths, counts, classes, SIMILARITY)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.maximum(c[i], c[j])), pa.array(np.minimum(c[i], c[j]))], ["c", "hub"]
+        )
+
+    for batch in batches:
+        names = ("key", "part", "c", "component", "n", "bins")
+        for key, part, *row in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+            if (key, part) != now:
+                if len(held) > 1:
+                    yield pairs()
+                now, held = (key, part), []
+            held.append(tuple(row))
+    if len(held) > 1:
+        yield pairs()
+
+
 def alignment(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """The ordered similarity of two k-mer sequences, 0 if it can't reach ``least``.
 
@@ -146,7 +209,7 @@ def alignment(a: np.ndarray, b: np.ndarray, least: float) -> float:
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0
-    needed = int(np.ceil(least / (1 + least) * (n + m) - 1e-9))
+    needed = int(least_chain(np.array(n + m), least))
     band = n + m - 2 * needed
     if min(n, m) < needed:
         return 0.0
@@ -179,11 +242,38 @@ def aligned(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (c, hub) that align; ``texts`` has (c, seq)."""
-    own = pairs.select("c", "hub").join(texts, "c")
+    own = pairs.select("c", "hub").join(texts.select("c", "seq"), "c")
     other = texts.select(F.col("c").alias("hub"), F.col("seq").alias("hub_seq"))
     return own.join(other, "hub").where(aligned("seq", "hub_seq")).select("c", "hub")
 
 
+def _strays(buckets: DataFrame, hubs: DataFrame, member: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (c, hub) that the buckets of more than two members still leave
+    open: of different components, and within the bounds."""
+    known = texts.select("c", (F.length("seq") / 4).cast("long").alias("n"), "bins")
+    known = known.join(member.withColumnRenamed("node", "c"), "c", "left")
+    known = written(known.withColumn("component", F.coalesce("component", "c")), "near-known")
+    open_ = (
+        buckets.join(known.select("c", "component"), "c")
+        .groupBy("key")
+        .agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+        .where("_lo != _hi")
+        .join(hubs.where("n > 2").select("key", F.col("n").alias("size")), "key")
+        .select("key", "size")
+    )
+    open_ = written(open_, "near-open")  # a plain table, as the hubs
+    dealt = buckets.join(open_, "key").select(
+        "key", F.pmod(F.xxhash64("c", "key"), F.ceil(F.col("size") / PART)).alias("part"), "c"
+    )
+    return (
+        dealt.join(known, "c")
+        .repartition("key", "part")
+        .sortWithinPartitions("key", "part")
+        .mapInArrow(_within_parts, "c long, hub long")
+        .distinct()
+    )
+
+
 def duplicate_classes(documents: DataFrame) -> DataFrame:
     """(a, b, class_id): the word-sequence key of every text and the smallest
     ``doc_id`` of its class of near duplicates."""
@@ -200,13 +290,7 @@ def duplicate_classes(documents: DataFrame) -> DataFrame:
     buckets = written(buckets, "near-buckets")
     hubs = buckets.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hubs = written(hubs, "near-hubs")  # a plain table, so that a hot bucket is split
-    dealt = buckets.join(hubs, "key").withColumn(
-        "part", F.pmod(F.xxhash64("c", "key"), F.ceil(F.col("n") / PART))
-    )
-    dealt = written(dealt.select("key", "part", "c", "hub"), "near-dealt")
-    other = dealt.select("key", "part", F.col("c").alias("hub"))
-    within = dealt.drop("hub").join(other, ["key", "part"]).where("c > hub").select("c", "hub")
-    pairs = dealt.where("c != hub").select("c", "hub").union(within).groupBy("c", "hub").count()
+    pairs = buckets.join(hubs, "key").where("c != hub").groupBy("c", "hub").count()
     pairs = written(pairs, "near-pairs")
 
     needed = pairs.select("c").union(pairs.select(F.col("hub").alias("c"))).distinct()
@@ -219,6 +303,7 @@ def duplicate_classes(documents: DataFrame) -> DataFrame:
         .where("k.a = a and k.b = b")
         .select("c", sequences("text").alias("seq"))
         .dropDuplicates(["c"])
+        .select("c", "seq", bins("seq").alias("bins"))
     )
     texts = written(texts, "near-texts")
 
@@ -240,6 +325,11 @@ def duplicate_classes(documents: DataFrame) -> DataFrame:
     second = written(_verified(rest, texts), "near-links")
     links = first.union(second)
     member = components(links.select(F.col("c").alias("a"), F.col("hub").alias("b")))
+    member = written(member, "near-members")
+
+    third = written(_verified(_strays(buckets, hubs, member, texts), texts), "near-links")
+    links = links.union(third)
+    member = components(links.select(F.col("c").alias("a"), F.col("hub").alias("b")))
     labelled = nodes.join(member.withColumnRenamed("node", "c"), "c", "left").withColumn(
         "component", F.coalesce("component", "c")
     )

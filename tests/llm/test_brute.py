@@ -162,6 +162,36 @@ def test_near_duplicates(spark, documents):
     assert {r["doc_id"]: r["class_id"] for r in out} == {i: root(i) for i in range(len(texts))}
 
 
+def test_bounds_drop_no_pair():
+    rng = random.Random(11)
+    rows = []
+    for _ in range(12):
+        base = rng.sample(range(10**6), rng.randrange(20, 400))
+        for _ in range(4):
+            lost = rng.choice((0.0, 0.04, 0.3))
+            kept = [x for x in base if rng.random() >= lost]
+            rows.append(np.array(kept + rng.sample(range(10**6, 2 * 10**6), rng.randrange(9)), np.uint32))
+    counts = np.array([np.bincount(r % orderhash.BINS, minlength=orderhash.BINS) for r in rows]).astype(np.uint8)
+    lengths, classes = np.array([len(r) for r in rows]), np.arange(len(rows)) // 2
+    got = set(zip(*(x.tolist() for x in orderhash.possible_pairs(lengths, counts, classes, 0.8)), strict=True))
+    every = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if classes[i] != classes[j]]
+    linked = {(i, j) for i, j in every if orderhash.alignment(rows[i], rows[j], 0.8) >= 0.8}
+    assert linked and linked <= got and len(got) < len(every) / 4
+
+
+def test_one_bucket_of_many_classes(spark):
+    """Texts that share a long passage, in pairs of near duplicates: the smallest
+    member of their buckets is near none of the others."""
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for pair in range(40):
+        own = [f"x{pair}-{i}" for i in range(90)]
+        texts += [" ".join(passage + own), " ".join(passage + own + [f"y{pair}-{i}" for i in range(6)])]
+    rows = list(enumerate(texts))
+    out = orderhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_alignment_is_the_longest_common_chain():
     rng = random.Random(5)
     for _ in range(200):
