@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from .blocks import Words, mix, other_bytes, powers, shingle_hashes, slices
 from .components import components
-from .tables import without, written
+from .tables import arrow_rows, without, written
 
 KMER = 5
 SIMILARITY = 0.8
@@ -48,6 +48,7 @@ SKETCHES = 12
 PICKED = 3
 PART = 256
 BINS = 128
+BATCH_ROWS = 1000  # texts or pairs sent to Python at a time
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -110,6 +111,7 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
 
 
 _KEY = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_KEY_FIELDS = [pa.field("a", pa.int64()), pa.field("b", pa.int64())]
 
 
 @F.arrow_udf(_KEY)
@@ -120,37 +122,43 @@ def content_key(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def sketches(texts: pa.Array) -> pa.Array:
-    out = []
+def _documents(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(a, b, labelled k-mers in text order) of each text."""
     for i, j in slices(texts):
-        kmers, row = labelled_kmers(_words(texts.slice(i, j - i)))
+        words = _words(texts.slice(i, j - i))
+        a, b = (x.view(np.int64).tolist() for x in content_keys(words))
+        kmers, row = labelled_kmers(words)
         first = np.searchsorted(row, np.arange(j - i + 1))
-        for s, e in zip(first, first[1:], strict=False):
-            out.append(sketch(kmers[s:e]).view(np.int64) if e > s else np.zeros(0, np.int64))
-    return pa.array(out, pa.list_(pa.int64()))
+        for d in range(j - i):
+            yield a[d], b[d], kmers[first[d] : first[d + 1]]
 
 
-@F.arrow_udf(T.BinaryType())
-def sequences(texts: pa.Array) -> pa.Array:
-    """Labelled k-mers in text order, 32 bits each."""
-    out = []
-    for i, j in slices(texts):
-        kmers, row = labelled_kmers(_words(texts.slice(i, j - i)))
-        first = np.searchsorted(row, np.arange(j - i + 1))
-        short = (kmers >> np.uint64(32)).astype(np.uint32)
-        out += [short[s:e].tobytes() for s, e in zip(first, first[1:], strict=False)]
-    return pa.array(out, pa.binary())
+def _rows(found: list[tuple], fields: list[pa.Field]) -> pa.Array:
+    columns = list(zip(*found, strict=True)) or [()] * len(fields)
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
 
 
-@F.arrow_udf(T.BinaryType())
-def bins(sequences: pa.Array) -> pa.Array:
+@F.arrow_udf(T.StructType([*_KEY.fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
+def sketches(texts: pa.Array) -> pa.Array:
+    """The content key and the sketch's keys."""
+    none = np.zeros(0, np.int64)
+    found = [(a, b, sketch(k).view(np.int64) if len(k) else none) for a, b, k in _documents(texts)]
+    return _rows(found, [*_KEY_FIELDS, pa.field("keys", pa.list_(pa.int64()))])
+
+
+def bins(codes: np.ndarray) -> bytes:
     """How many k-mers fall into each of ``BINS``, at most 255 of each."""
-    out = []
-    for x in sequences:
-        counts = np.bincount(np.frombuffer(x.as_py(), np.uint32) % BINS, minlength=BINS)
-        out.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
-    return pa.array(out, pa.binary())
+    return np.minimum(np.bincount(codes % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+@F.arrow_udf(T.StructType([*_KEY.fields, T.StructField("seq", T.BinaryType()), T.StructField("bins", T.BinaryType())]))
+def sequences(texts: pa.Array) -> pa.Array:
+    """The content key, the labelled k-mers in text order, 32 bits each, and their bins."""
+    found = []
+    for a, b, kmers in _documents(texts):
+        codes = (kmers >> np.uint64(32)).astype(np.uint32)
+        found.append((a, b, codes.tobytes(), bins(codes)))
+    return _rows(found, [*_KEY_FIELDS, pa.field("seq", pa.binary()), pa.field("bins", pa.binary())])
 
 
 def least_chain(total: np.ndarray, least: float) -> np.ndarray:
@@ -277,16 +285,21 @@ def _strays(buckets: DataFrame, hubs: DataFrame, member: DataFrame, texts: DataF
 def duplicate_classes(documents: DataFrame) -> DataFrame:
     """(a, b, class_id): the word-sequence key of every text and the smallest
     ``doc_id`` of its class of near duplicates."""
+    with arrow_rows(documents.sparkSession, BATCH_ROWS):
+        return _duplicate_classes(documents)
+
+
+def _duplicate_classes(documents: DataFrame) -> DataFrame:
     keyed = documents.where(F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc"), "text", content_key("text").alias("k")
+        F.col("doc_id").cast("long").alias("doc"), sketches("text").alias("k")
     )
-    nodes = keyed.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.min("doc").alias("first"))
+    keyed = written(keyed.select("doc", "k.a", "k.b", "k.keys"), "near-keys")
+    nodes = keyed.groupBy("a", "b").agg(F.min("doc").alias("first"))
     nodes = written(nodes.withColumn("c", F.monotonically_increasing_id()), "near-nodes")
 
-    picked = keyed.select("doc", "k", sketches("text").alias("keys")).where(F.size("keys") > 0)
-    buckets = picked.select("k", F.posexplode("keys").alias("j", "key")).select("k.a", "k.b", "key")
     # keys hold their order's number; equal texts fall together before anything else
-    buckets = buckets.distinct().join(nodes.select("a", "b", "c"), ["a", "b"]).select("key", "c")
+    buckets = keyed.select("a", "b", F.explode("keys").alias("key")).distinct()
+    buckets = buckets.join(nodes.select("a", "b", "c"), ["a", "b"]).select("key", "c")
     buckets = written(buckets, "near-buckets")
     hubs = buckets.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hubs = written(hubs, "near-hubs")  # a plain table, so that a hot bucket is split
@@ -299,11 +312,10 @@ def duplicate_classes(documents: DataFrame) -> DataFrame:
         documents.where(F.col("text").isNotNull())
         .select(F.col("doc_id").cast("long").alias("doc"), "text")
         .join(needed, F.col("doc").eqNullSafe(F.col("_first")))
-        .withColumn("k", content_key("text"))
+        .select("c", "a", "b", sequences("text").alias("k"))
         .where("k.a = a and k.b = b")
-        .select("c", sequences("text").alias("seq"))
+        .select("c", "k.seq", "k.bins")
         .dropDuplicates(["c"])
-        .select("c", "seq", bins("seq").alias("bins"))
     )
     texts = written(texts, "near-texts")
 
@@ -335,7 +347,7 @@ def duplicate_classes(documents: DataFrame) -> DataFrame:
     )
     labelled = written(labelled, "near-labels")
     least = labelled.groupBy("component").agg(F.min("first").alias("class_id"))
-    return labelled.join(least, "component").select("a", "b", "class_id")
+    return written(labelled.join(least, "component").select("a", "b", "class_id"), "near-classes")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -349,7 +361,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     are replaced. An empty table gives no rows.
     """
     kept = without(documents, "class_id", "kept", "_k", "_a", "_b", "_class")
-    classes = written(duplicate_classes(documents), "near-classes").withColumnsRenamed({"a": "_a", "b": "_b", "class_id": "_class"})
+    classes = duplicate_classes(documents).withColumnsRenamed({"a": "_a", "b": "_b", "class_id": "_class"})
     keyed = kept.withColumn("_k", content_key("text"))
     found = keyed.join(
         classes, F.col("text").isNotNull() & (F.col("_k.a") == F.col("_a")) & (F.col("_k.b") == F.col("_b")), "left"
