@@ -11,7 +11,9 @@ smallest one. Then the buckets that still hold several classes are compared with
 a pair of different classes is a candidate if the bounds below allow it the
 threshold. Buckets of up to ``PART`` members are compared whole; larger ones are
 dealt into parts of about ``PART``, other ones under each key, so that the work
-follows the input and not the square of a bucket.
+follows the input and not the square of a bucket. A part holds its members'
+sequences and verifies its own pairs, each in the first part that both are in; it
+returns links that join its classes, fewer than its members.
 
 The bounds drop no pair that could be linked: the chain is no longer than the
 shorter text, and each k-mer outside the chain changes one of ``BINS`` counts by
@@ -30,6 +32,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
+from tempfile import SpooledTemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +53,7 @@ PICKED = 3
 PART = 256
 BINS = 128
 BATCH_ROWS = 1000  # texts or pairs sent to Python at a time
+HELD_BYTES = 64 << 20  # of a part's sequences, before they go to a file of the task
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -146,19 +151,16 @@ def sketches(texts: pa.Array) -> pa.Array:
     return _rows(found, [*_KEY_FIELDS, pa.field("keys", pa.list_(pa.int64()))])
 
 
-def bins(codes: np.ndarray) -> bytes:
-    """How many k-mers fall into each of ``BINS``, at most 255 of each."""
-    return np.minimum(np.bincount(codes % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+@F.arrow_udf(T.StructType([*_KEY.fields, T.StructField("seq", T.BinaryType())]))
+def sequences(texts: pa.Array) -> pa.Array:
+    """The content key and the labelled k-mers in text order, 32 bits each."""
+    found = [(a, b, (k >> np.uint64(32)).astype(np.uint32).tobytes()) for a, b, k in _documents(texts)]
+    return _rows(found, [*_KEY_FIELDS, pa.field("seq", pa.binary())])
 
 
-@F.arrow_udf(T.StructType([*_KEY.fields, T.StructField("seq", T.BinaryType()), T.StructField("bins", T.BinaryType())]))
-def sequences(texts: pa.Array) -> pa.Array:
-    """The content key, the labelled k-mers in text order, 32 bits each, and their bins."""
-    found = []
-    for a, b, kmers in _documents(texts):
-        codes = (kmers >> np.uint64(32)).astype(np.uint32)
-        found.append((a, b, codes.tobytes(), bins(codes)))
-    return _rows(found, [*_KEY_FIELDS, pa.field("seq", pa.binary()), pa.field("bins", pa.binary())])
+def bins(codes: np.ndarray) -> np.ndarray:
+    """How many k-mers fall into each of ``BINS``, at most 255 of each."""
+    return np.minimum(np.bincount(codes % BINS, minlength=BINS), 255).astype(np.uint8)
 
 
 def least_chain(total: np.ndarray, least: float) -> np.ndarray:
@@ -181,31 +183,6 @@ def possible_pairs(lengths: np.ndarray, counts: np.ndarray, classes: np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
-def _within_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c, hub) of the possible pairs of each part; rows come in the order of parts."""
-    now: tuple[int, int] | None = None
-    held: list[tuple[int, int, int, bytes]] = []
-
-    def pairs() -> pa.RecordBatch:
-        c, classes, lengths = (np.array([r[k] for r in held], np.int64) for k in range(3))
-        counts = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), BINS)
-        i, j = possible_pairs(lengths, counts, classes, SIMILARITY)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.maximum(c[i], c[j])), pa.array(np.minimum(c[i], c[j]))], ["c", "hub"]
-        )
-
-    for batch in batches:
-        names = ("key", "part", "c", "component", "n", "bins")
-        for key, part, *row in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
-            if (key, part) != now:
-                if len(held) > 1:
-                    yield pairs()
-                now, held = (key, part), []
-            held.append(tuple(row))
-    if len(held) > 1:
-        yield pairs()
-
-
 def alignment(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """The ordered similarity of two k-mer sequences, 0 if it can't reach ``least``.
 
@@ -239,6 +216,68 @@ def alignment(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return len(tails) / (n + m - len(tails))
 
 
+class _Part:
+    """The members of one part; their sequences lie in a file once they are many."""
+
+    def __init__(self, place: int) -> None:
+        self.place = place
+        self.members: list[tuple[int, int, int, frozenset[int]]] = []
+        self.counts: list[np.ndarray] = []
+        self.starts = [0]
+        self.file = SpooledTemporaryFile(max_size=HELD_BYTES)
+
+    def add(self, c: int, component: int, places: list[int], seq: bytes) -> None:
+        self.members.append((c, component, len(seq) // 4, frozenset(places)))
+        self.counts.append(bins(np.frombuffer(seq, np.uint32)))
+        self.file.write(seq)
+        self.starts.append(self.starts[-1] + len(seq))
+
+    def sequence(self, i: int) -> np.ndarray:
+        self.file.seek(self.starts[i])
+        return np.frombuffer(self.file.read(self.starts[i + 1] - self.starts[i]), np.uint32)
+
+    def links(self) -> list[tuple[int, int]]:
+        """(c, hub) of aligned pairs whose classes no link before has joined."""
+        if len({m[1] for m in self.members}) < 2:
+            return []
+        classes, lengths = (np.array([m[k] for m in self.members], np.int64) for k in (1, 2))
+        top = {x: x for x in classes.tolist()}
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        found = []
+        for i, j in zip(*(x.tolist() for x in possible_pairs(lengths, np.stack(self.counts), classes, SIMILARITY)), strict=True):
+            (c, own, _, here), (d, other, _, there) = self.members[i], self.members[j]
+            own, other = root(own), root(other)
+            if own == other or min(here & there) != self.place:
+                continue
+            if alignment(self.sequence(i), self.sequence(j), SIMILARITY) >= SIMILARITY - 1e-12:
+                top[max(own, other)] = min(own, other)
+                found.append((max(c, d), min(c, d)))
+        return found
+
+
+def links_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of all parts; rows (place, c, component, places, seq) come in the
+    order of places."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(x) for x in ("place", "c", "component", "places", "seq")), strict=True)
+
+    for place, members in groupby(rows(), key=lambda r: r[0].as_py()):
+        part = _Part(place)
+        for _, *row in members:
+            part.add(*(x.as_py() for x in row))
+        if found := part.links():
+            c, hub = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(hub, pa.int64())], ["c", "hub"])
+        part.file.close()
+
+
 @F.arrow_udf(T.BooleanType())
 def aligned(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
@@ -256,13 +295,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _strays(buckets: DataFrame, hubs: DataFrame, member: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (c, hub) that the buckets of more than two members still leave
-    open: of different components, and within the bounds."""
-    known = texts.select("c", (F.length("seq") / 4).cast("long").alias("n"), "bins")
-    known = known.join(member.withColumnRenamed("node", "c"), "c", "left")
+    """The links (c, hub) that the buckets of more than two members still leave
+    open, between different components."""
+    known = texts.select("c").join(member.withColumnRenamed("node", "c"), "c", "left")
     known = written(known.withColumn("component", F.coalesce("component", "c")), "near-known")
     open_ = (
-        buckets.join(known.select("c", "component"), "c")
+        buckets.join(known, "c")
         .groupBy("key")
         .agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
         .where("_lo != _hi")
@@ -270,15 +308,15 @@ def _strays(buckets: DataFrame, hubs: DataFrame, member: DataFrame, texts: DataF
         .select("key", "size")
     )
     open_ = written(open_, "near-open")  # a plain table, as the hubs
-    dealt = buckets.join(open_, "key").select(
-        "key", F.pmod(F.xxhash64("c", "key"), F.ceil(F.col("size") / PART)).alias("part"), "c"
-    )
+    part = F.pmod(F.xxhash64("c", "key"), F.ceil(F.col("size") / PART))
+    dealt = buckets.join(open_, "key").groupBy("c").agg(F.collect_set(F.xxhash64("key", part)).alias("places"))
     return (
-        dealt.join(known, "c")
-        .repartition("key", "part")
-        .sortWithinPartitions("key", "part")
-        .mapInArrow(_within_parts, "c long, hub long")
-        .distinct()
+        dealt.join(known, "c")  # at most one place for each key of a sketch
+        .join(texts, "c")
+        .select(F.explode("places").alias("place"), "c", "component", "places", "seq")
+        .repartition("place")
+        .sortWithinPartitions("place", "c")
+        .mapInArrow(links_within, "c long, hub long")
     )
 
 
@@ -314,7 +352,7 @@ def _duplicate_classes(documents: DataFrame) -> DataFrame:
         .join(needed, F.col("doc").eqNullSafe(F.col("_first")))
         .select("c", "a", "b", sequences("text").alias("k"))
         .where("k.a = a and k.b = b")
-        .select("c", "k.seq", "k.bins")
+        .select("c", "k.seq")
         .dropDuplicates(["c"])
     )
     texts = written(texts, "near-texts")
@@ -339,7 +377,7 @@ def _duplicate_classes(documents: DataFrame) -> DataFrame:
     member = components(links.select(F.col("c").alias("a"), F.col("hub").alias("b")))
     member = written(member, "near-members")
 
-    third = written(_verified(_strays(buckets, hubs, member, texts), texts), "near-links")
+    third = written(_strays(buckets, hubs, member, texts), "near-links")
     links = links.union(third)
     member = components(links.select(F.col("c").alias("a"), F.col("hub").alias("b")))
     labelled = nodes.join(member.withColumnRenamed("node", "c"), "c", "left").withColumn(

@@ -171,7 +171,7 @@ def test_bounds_drop_no_pair():
             lost = rng.choice((0.0, 0.04, 0.3))
             kept = [x for x in base if rng.random() >= lost]
             rows.append(np.array(kept + rng.sample(range(10**6, 2 * 10**6), rng.randrange(9)), np.uint32))
-    counts = np.array([np.bincount(r % orderhash.BINS, minlength=orderhash.BINS) for r in rows]).astype(np.uint8)
+    counts = np.stack([orderhash.bins(r) for r in rows])
     lengths, classes = np.array([len(r) for r in rows]), np.arange(len(rows)) // 2
     got = set(zip(*(x.tolist() for x in orderhash.possible_pairs(lengths, counts, classes, 0.8)), strict=True))
     every = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if classes[i] != classes[j]]
@@ -179,6 +179,44 @@ def test_bounds_drop_no_pair():
     assert linked and linked <= got and len(got) < len(every) / 4
 
 
+def test_parts_join_what_their_pairs_join(monkeypatch):
+    """Links are fewer than members, and give the classes that all aligned pairs
+    of a common part give."""
+    monkeypatch.setattr(orderhash, "HELD_BYTES", 1000)
+    rng = random.Random(13)
+    rows, class_of = [], {}
+    for family in range(6):
+        base = rng.sample(range(10**6), 150)
+        for _ in range(20):
+            c, places = len(class_of), sorted(rng.sample(range(4), rng.randrange(1, 4)))
+            seq = [x for x in base if rng.random() > 0.08]
+            class_of[c] = c - 1 if rng.random() < 0.2 and c else c
+            rows.append((c, class_of[c], places, np.array(seq, np.uint32)))
+    sent = sorted((p, c, own, places, seq.tobytes()) for c, own, places, seq in rows for p in places)
+    names = ["place", "c", "component", "places", "seq"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
+        for part in itertools.batched(sent, 33)
+    ]
+    links = [tuple(r.values()) for out in orderhash.links_within(iter(batches)) for r in out.to_pylist()]
+    every = [
+        (a[0], b[0])
+        for a, b in itertools.combinations(rows, 2)
+        if set(a[2]) & set(b[2]) and orderhash.alignment(a[3], b[3], 0.8) >= 0.8
+    ]
+
+    def classes(pairs):
+        label = {c: class_of[c] for c in class_of}
+        for _ in label:
+            for a, b in [*pairs, *class_of.items()]:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert classes(links) == classes(every) != classes([])
+    assert len(links) < len(sent) < len(every)
+
+
 def test_one_bucket_of_many_classes(spark):
     """Texts that share a long passage, in pairs of near duplicates: the smallest
     member of their buckets is near none of the others."""
