@@ -23,6 +23,7 @@ occur more often are cut into single windows, whose places are counted directly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -307,6 +308,16 @@ def repeated_places(documents: DataFrame) -> DataFrame:
     return plain.union(found).groupBy("k").agg(F.collect_list("spot").alias("spots"))
 
 
+def covered(n: int, spots: pa.StructArray) -> np.ndarray:
+    """Which of ``n`` words lie in a window of ``spots``."""
+    place, bits = (x.to_numpy(zero_copy_only=False) for x in spots.flatten())
+    x = np.arange(64)
+    starts = (place >> 6)[:, None] + x
+    starts = starts[((bits[:, None] >> x) & 1 == 1) & (x < (place & 63)[:, None])]
+    cover = np.bincount(starts, minlength=n + 1) - np.bincount(starts + WINDOW, minlength=n + 1)
+    return np.cumsum(cover)[:n] > 0
+
+
 @F.arrow_udf(
     T.StructType(
         [T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -314,24 +325,17 @@ def repeated_places(documents: DataFrame) -> DataFrame:
 )
 def without_spots(texts: pa.Array, spots: pa.Array) -> pa.Array:
     out = []
-    for text, spot in zip(texts, spots, strict=True):
-        words = _split(text.as_py() or "")
-        cover = np.zeros(len(words) + 1, np.int64)
-        for s in spot.as_py() or ():
-            pos, count = s["place"] >> 6, s["place"] & 63
-            for x in range(count):
-                if s["bits"] >> x & 1:
-                    cover[pos + x] += 1
-                    cover[pos + x + WINDOW] -= 1
-        gone = np.cumsum(cover)[:-1] > 0
-        kept = " ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-        out.append({"text": kept, "n_words": len(words), "n_removed": int(gone.sum())})
-    return pa.array(out, pa.struct([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())]))
-
-
-def _split(text: str) -> list[str]:
-    """Words between ASCII spaces; str.split would also part at other spaces."""
-    return [w.decode() for w in text.encode().split()]
+    for text, spot in zip(texts.cast(pa.binary()), spots, strict=True):
+        words = (text.as_py() or b"").split()  # bytes part at ASCII spaces only
+        n = len(words)
+        if spot.is_valid and len(spot.values):
+            words = list(compress(words, ~covered(n, spot.values)))
+        out.append((b" ".join(words), n, n - len(words)))
+    kept, n_words, n_removed = zip(*out, strict=True) if out else ((), (), ())
+    return pa.StructArray.from_arrays(
+        [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
+        ["text", "n_words", "n_removed"],
+    )
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
