@@ -300,6 +300,7 @@ def repeated_places(documents: DataFrame) -> DataFrame:
         .mapInArrow(_match, "h long, r long, bits long")
     )
     single = hot.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    single = written(single, "repeat-single")  # a plain table, as the anchors
     found = cold.join(matched, ["h", "r"]).select("k", F.struct("place", "bits").alias("spot"))
     found = found.union(
         hot.join(single, "h").select("k", F.struct("place", F.lit(1).cast("long").alias("bits")).alias("spot"))
