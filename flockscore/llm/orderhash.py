@@ -10,10 +10,13 @@ Candidates come in two rounds. First each member of a bucket meets the bucket's
 smallest one. Then the buckets that still hold several classes are compared within:
 a pair of different classes is a candidate if the bounds below allow it the
 threshold. Buckets of up to ``PART`` members are compared whole; larger ones are
-dealt into parts of about ``PART``, other ones under each key, so that the work
-follows the input and not the square of a bucket. A part holds its members'
-sequences and verifies its own pairs, each in the first part that both are in; it
-returns links that join its classes, fewer than its members.
+dealt into parts of about ``PART``, other ones under each key, which joins most of
+what belongs together. A part holds its members' sequences and verifies its own
+pairs, each in the first part that both are in; it returns links that join its
+classes, fewer than its members. Large buckets that then still hold several classes
+are dealt into cells, and cell is compared with cell, but for two of one class and
+two whose lengths are too far apart. No pair is left out; the work grows with the
+square of the members that no class has taken up.
 
 The bounds drop no pair that could be linked: the chain is no longer than the
 shorter text, and each k-mer outside the chain changes one of ``BINS`` counts by
@@ -30,6 +33,7 @@ joined are not compared again: it could not change the classes.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
@@ -52,6 +56,7 @@ SKETCHES = 12
 PICKED = 3
 PART = 256
 BINS = 128
+LEVEL = 1.01 * math.log(1 / SIMILARITY)  # of the logarithm of lengths: more than linked texts differ
 BATCH_ROWS = 1000  # texts or pairs sent to Python at a time
 HELD_BYTES = 64 << 20  # of a part's sequences, before they go to a file of the task
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -168,14 +173,20 @@ def least_chain(total: np.ndarray, least: float) -> np.ndarray:
     return np.ceil(least / (1 + least) * total - 1e-9).astype(np.int64)
 
 
-def possible_pairs(lengths: np.ndarray, counts: np.ndarray, classes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of different classes that lengths and bins allow ``least``."""
+def possible_pairs(
+    lengths: np.ndarray, counts: np.ndarray, classes: np.ndarray, least: float, sides: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of different classes, and of different sides if there are any, that
+    lengths and bins allow ``least``."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     counts = counts.astype(np.int16)
     for i in range(len(lengths) - 1):
         n, m = lengths[i], lengths[i + 1 :]
         needed = least_chain(n + m, least)
-        j = np.flatnonzero((classes[i + 1 :] != classes[i]) & (np.minimum(n, m) >= needed))
+        use = (classes[i + 1 :] != classes[i]) & (np.minimum(n, m) >= needed)
+        if sides is not None:
+            use &= sides[i + 1 :] != sides[i]
+        j = np.flatnonzero(use)
         apart = np.abs(counts[i + 1 + j] - counts[i]).sum(1, dtype=np.int64)
         j = j[apart <= (n + m - 2 * needed)[j]]
         left.append(np.full(len(j), i))
@@ -222,11 +233,13 @@ class _Part:
     def __init__(self, place: int) -> None:
         self.place = place
         self.members: list[tuple[int, int, int, frozenset[int]]] = []
+        self.sides: list[int] = []
         self.counts: list[np.ndarray] = []
         self.starts = [0]
         self.file = SpooledTemporaryFile(max_size=HELD_BYTES)
 
-    def add(self, c: int, component: int, places: list[int], seq: bytes) -> None:
+    def add(self, c: int, component: int, places: list[int], seq: bytes, side: int = 0) -> None:
+        self.sides.append(side)
         self.members.append((c, component, len(seq) // 4, frozenset(places)))
         self.counts.append(bins(np.frombuffer(seq, np.uint32)))
         self.file.write(seq)
@@ -248,8 +261,9 @@ class _Part:
                 top[x] = x = top[top[x]]
             return x
 
-        found = []
-        for i, j in zip(*(x.tolist() for x in possible_pairs(lengths, np.stack(self.counts), classes, SIMILARITY)), strict=True):
+        found, sides = [], np.array(self.sides) if len(set(self.sides)) > 1 else None
+        pairs = possible_pairs(lengths, np.stack(self.counts), classes, SIMILARITY, sides)
+        for i, j in zip(*(x.tolist() for x in pairs), strict=True):
             (c, own, _, here), (d, other, _, there) = self.members[i], self.members[j]
             own, other = root(own), root(other)
             if own == other or min(here & there) != self.place:
@@ -262,16 +276,21 @@ class _Part:
 
 def links_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of all parts; rows (place, c, component, places, seq) come in the
-    order of places."""
+    order of places. Rows of two cells of a place also have (block, side) and come in
+    the order of blocks; only pairs of different sides are compared there."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(batch.column(x) for x in ("place", "c", "component", "places", "seq")), strict=True)
+            names = ["place", "block", "c", "component", "places", "seq", "side"]
+            yield from zip(*(batch.column(x) for x in names if x in batch.schema.names), strict=True)
 
-    for place, members in groupby(rows(), key=lambda r: r[0].as_py()):
-        part = _Part(place)
-        for _, *row in members:
-            part.add(*(x.as_py() for x in row))
+    def group(row: tuple) -> tuple:
+        return tuple(x.as_py() for x in row[: 1 if len(row) == 5 else 2])
+
+    for place, members in groupby(rows(), key=group):
+        part = _Part(place[0])
+        for row in members:
+            part.add(*(x.as_py() for x in row[len(place) :]))
         if found := part.links():
             c, hub = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(hub, pa.int64())], ["c", "hub"])
@@ -294,20 +313,34 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return own.join(other, "hub").where(aligned("seq", "hub_seq")).select("c", "hub")
 
 
-def _strays(buckets: DataFrame, hubs: DataFrame, member: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links (c, hub) that the buckets of more than two members still leave
-    open, between different components."""
-    known = texts.select("c").join(member.withColumnRenamed("node", "c"), "c", "left")
-    known = written(known.withColumn("component", F.coalesce("component", "c")), "near-known")
+def _open(buckets: DataFrame, hubs: DataFrame, known: DataFrame, over: int) -> DataFrame:
+    """(key, size) of the buckets of more than ``over`` members that still hold
+    several components."""
     open_ = (
-        buckets.join(known, "c")
+        buckets.join(hubs.where(F.col("n") > over).select("key"), "key")
+        .join(known, "c")
         .groupBy("key")
         .agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
         .where("_lo != _hi")
-        .join(hubs.where("n > 2").select("key", F.col("n").alias("size")), "key")
+        .join(hubs.select("key", F.col("n").alias("size")), "key")
         .select("key", "size")
     )
-    open_ = written(open_, "near-open")  # a plain table, as the hubs
+    return written(open_, "near-open")  # a plain table, as the hubs
+
+
+def _known(member: DataFrame, texts: DataFrame) -> DataFrame:
+    """(c, component, level); texts of which one could be linked to the other have
+    the same or adjoining levels of length."""
+    level = F.floor(F.log(F.octet_length("seq") / 4) / LEVEL)
+    known = texts.select("c", level.alias("level")).join(member.withColumnRenamed("node", "c"), "c", "left")
+    return written(known.withColumn("component", F.coalesce("component", "c")), "near-known")
+
+
+def _strays(buckets: DataFrame, hubs: DataFrame, member: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (c, hub) that the buckets of more than two members still leave
+    open, between different components; larger ones than ``PART`` only in parts."""
+    known = _known(member, texts).select("c", "component")
+    open_ = _open(buckets, hubs, known, 2)
     part = F.pmod(F.xxhash64("c", "key"), F.ceil(F.col("size") / PART))
     dealt = buckets.join(open_, "key").groupBy("c").agg(F.collect_set(F.xxhash64("key", part)).alias("places"))
     return (
@@ -320,6 +353,61 @@ def _strays(buckets: DataFrame, hubs: DataFrame, member: DataFrame, texts: DataF
     )
 
 
+def _across(buckets: DataFrame, hubs: DataFrame, member: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """The links (c, hub) that the buckets of more than ``PART`` members still leave
+    open, between any two of their cells; None if there is no such bucket.
+
+    A component of more than ``PART`` members of a bucket and level has cells of its
+    own, which are not compared with each other.
+    """
+    known = _known(member, texts)
+    open_ = _open(buckets, hubs, known, PART).select(F.col("key").alias("place"))
+    if open_.isEmpty():
+        return None
+    members = buckets.withColumnRenamed("key", "place").join(open_, "place").join(known, "c")
+    members = written(members.select("place", "level", "component", "c"), "near-open")
+    groups = written(members.groupBy("place", "level", "component").count(), "near-groups")
+    large = groups.where(F.col("count") > PART).withColumnRenamed("count", "_large")
+    small = groups.where(F.col("count") <= PART).groupBy("place", "level").agg(F.sum("count").alias("_small"))
+    large, small = written(large, "near-groups"), written(small.where(F.col("_small") > PART), "near-groups")
+    own = F.xxhash64("component", F.pmod(F.xxhash64("c", "place"), F.ceil(F.col("_large") / PART)))
+    shared = F.pmod(F.xxhash64("component", "place"), F.ceil(F.coalesce("_small", F.lit(1)) / PART))
+    members = (
+        members.join(large, ["place", "level", "component"], "left")
+        .join(small, ["place", "level"], "left")
+        .withColumn("cell", F.xxhash64("level", F.when(F.col("_large").isNull(), shared).otherwise(own)))
+        .select("place", "level", "cell", "component", "c")
+    )
+    members = written(members, "near-cells")
+    cells = members.groupBy("place", "level", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    cells = written(cells, "near-cells")
+    first = cells.withColumn("level", F.explode(F.array("level", F.col("level") + 1))).select(
+        "place", "level", F.col("cell").alias("a"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")
+    )
+    blocks = (
+        cells.join(first, ["place", "level"])
+        .where("least(lo, _lo) != greatest(hi, _hi)")
+        .select("place", F.least("a", "cell").alias("a"), F.greatest("a", "cell").alias("b"))
+        .distinct()  # two cells of a level meet in both orders
+        .withColumn("block", F.xxhash64("a", "b"))
+    )
+    sides = F.array(
+        F.struct(F.col("a").alias("cell"), F.lit(0).alias("side")), F.struct(F.col("b").alias("cell"), F.lit(1).alias("side"))
+    )
+    sides = F.when(F.col("a") == F.col("b"), F.slice(sides, 1, 1)).otherwise(sides)
+    blocks = written(blocks.select("place", "block", F.inline(sides)), "near-blocks")
+    places = members.groupBy("c").agg(F.collect_set("place").alias("places"))
+    return (
+        members.join(places, "c")
+        .join(texts, "c")
+        .join(blocks, ["place", "cell"])
+        .select("place", "block", "side", "c", "component", "places", "seq")
+        .repartition("place", "block")
+        .sortWithinPartitions("place", "block", "c")
+        .mapInArrow(links_within, "c long, hub long")
+    )
+
+
 def duplicate_classes(documents: DataFrame) -> DataFrame:
     """(a, b, class_id): the word-sequence key of every text and the smallest
     ``doc_id`` of its class of near duplicates."""
@@ -380,6 +468,10 @@ def _duplicate_classes(documents: DataFrame) -> DataFrame:
     third = written(_strays(buckets, hubs, member, texts), "near-links")
     links = links.union(third)
     member = components(links.select(F.col("c").alias("a"), F.col("hub").alias("b")))
+    fourth = _across(buckets, hubs, written(member, "near-members"), texts)
+    if fourth is not None:
+        links = links.union(written(fourth, "near-links"))
+        member = components(links.select(F.col("c").alias("a"), F.col("hub").alias("b")))
     labelled = nodes.join(member.withColumnRenamed("node", "c"), "c", "left").withColumn(
         "component", F.coalesce("component", "c")
     )

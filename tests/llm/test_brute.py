@@ -230,6 +230,18 @@ def test_one_bucket_of_many_classes(spark):
     assert {r["doc_id"]: r["class_id"] for r in out} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_large_bucket_of_a_template(spark):
+    """Over 1,000 texts of one template, linked only in planted pairs, so that their
+    buckets hold several parts."""
+    template, texts = " ".join(f"p{i}" for i in range(106)), []
+    for pair in range(550):
+        both = " ".join(f"x{pair}n{i}" for i in range(6))
+        texts += [f"{template} {both} " + " ".join(f"{side}{pair}n{i}" for i in range(12)) for side in "yz"]
+    rows = list(enumerate(texts))
+    out = orderhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_alignment_is_the_longest_common_chain():
     rng = random.Random(5)
     for _ in range(200):
