@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows.
 
 A document is compared with a benchmark item in windows of the item's word count,
-one for each word. A window's fingerprint is the SimHash of its five-word shingles.
+one for each word; a document of fewer words is one window. A window's fingerprint is the SimHash of its five-word shingles.
 Fingerprints are found by a multi-index: cut into ``BLOCKS`` blocks of 16 bits, a
 fingerprint within ``RADIUS`` differs by at most ``RADIUS // BLOCKS`` bits in one
 block at least, so looking up each block within that many bits finds all of them.
@@ -153,23 +153,24 @@ class Matcher:
                 starts.setdefault(size, []).append(np.arange(hit - (size - k), hit + 1))
         for size, ranges in starts.items():
             at = np.unique(np.concatenate(ranges))
-            at = at[(at >= 0) & (at + size - k < len(shingles))]
+            wide = min(size - k + 1, len(shingles))  # shingles of a window; a shorter text is one
+            at = at[(at >= 0) & (at + wide <= len(shingles))]
             for part in np.array_split(at, len(at) // 4096 + 1):
                 if not len(part):
                     continue
-                low, n = part[0], part[-1] + size - k + 1 - part[0]
+                low, n = part[0], part[-1] + wide - part[0]
                 sums = np.zeros((n + 1, 64), np.int32)
                 np.cumsum(_bits(shingles[low : low + n]), axis=0, out=sums[1:])
-                prints = simhash(sums[part - low + size - k + 1] - sums[part - low])
+                prints = simhash(sums[part - low + wide] - sums[part - low])
                 if size not in self.index:
                     own = self.sizes[size]
                     self.index[size] = MultiIndex(np.array([self.items[o][4] for o in own], np.uint64))
                 for q, which in zip(*self.index[size].near(prints), strict=True):
                     item = self.items[self.sizes[size][which]]
                     s = part[q]
-                    likeness = weighted_similarity(shingles[s : s + size - k + 1], item[3])
+                    likeness = weighted_similarity(shingles[s : s + wide], item[3])
                     if likeness >= SIMILARITY - 1e-12:
-                        out.append((row, int(item[0]), int(s), int(size), float(likeness)))
+                        out.append((row, int(item[0]), int(s), int(wide + k - 1), float(likeness)))
         return out
 
 

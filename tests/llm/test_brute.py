@@ -321,6 +321,25 @@ def test_decontamination(spark):
     assert {(r["doc_id"], r["i"]) for r in found} == expected and expected
 
 
+def test_truncated_items(spark):
+    """Documents shorter than the item, against the whole document as its window."""
+    item = _family(21, 1, 0, 60)[0].split()
+    bag = collections.Counter(tuple(item[i : i + 5]) for i in range(56))
+    texts = [item[:57], item[3:], item[2:58], item[:48], item[:47], item[:20], [*item[:30], "x", *item[30:55]], item]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    expected = {}
+    for i, words in enumerate(texts):
+        own = collections.Counter(tuple(words[j : j + 5]) for j in range(len(words) - 4))
+        likeness = sum((own & bag).values()) / sum((own | bag).values())
+        if likeness >= 0.8:
+            expected[i] = (7, 0, len(words), likeness)
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    found = found.selectExpr("doc_id", "inline(leaks)").collect()
+    assert {r[0]: tuple(r[1:4]) for r in found} == {i: w[:3] for i, w in expected.items()} and 0 in expected
+    assert all(r[4] == pytest.approx(expected[r[0]][3]) for r in found)
+
+
 def test_item_blocks_give_the_same(spark, monkeypatch):
     docs, bench = table(spark, DATA, "documents"), table(spark, DATA, "benchmark")
     whole = {(r["doc_id"], str(sorted(map(tuple, r["leaks"])))) for r in decontam.find_leaks(docs, bench).collect()}
