@@ -3,9 +3,10 @@
 Each language is a distribution over hashed byte trigrams of lower-cased words
 with a space at either end, counted over all documents that may be learnt from. A document
 is a mixture: expectation-maximisation estimates the languages' shares of its
-trigrams. Sets of one, two, ... languages, strongest first, are fitted, and the
-set with the largest likelihood less a penalty for each language is taken. The
-prediction is the language with the largest share of that set.
+trigrams. All learnt languages are fitted, then all but the weakest, and so on; the
+set with the largest likelihood less a penalty for each language is taken, and loses
+further languages while that raises it. The prediction is the language with the
+largest share of that set.
 """
 
 from __future__ import annotations
@@ -19,13 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import flat, slices
+from .blocks import SLICE_BYTES, flat, slices
 from .tables import fold, without
 
 FOLDS = 4
 BUCKETS = 1 << 15
 SMOOTH = 0.5
-MOST = 3  # languages of one document, at most
 ROUNDS = 10
 PENALTY = 3.0  # times log(trigrams), for each language: one trigram shares letters with two others
 UNKNOWN = "und"
@@ -120,25 +120,45 @@ def infer(texts: pa.Array, model: dict[str, Any]) -> tuple[np.ndarray, np.ndarra
     row, bucket, count = trigrams(texts)
     n, langs = len(texts), len(model["langs"])
     size = np.maximum(np.bincount(row, count, n), 1)
-    # the languages that explain the text best alone are those that can be in it
-    alone = np.stack([_by_row(row, count * np.log(model["p"][bucket, i]), n) for i in range(langs)], 1)
-    most = min(MOST, langs)
-    chosen = np.argsort(-alone, 1, kind="stable")[:, :most]
-    p = np.take_along_axis(model["p"][bucket], chosen[row], 1)
-    share, fit = _mixture(row, p, count, size)
-    order = np.argsort(-share, 1, kind="stable")
-    chosen, share = np.take_along_axis(chosen, order, 1), np.take_along_axis(share, order, 1)
-    p = np.take_along_axis(p, order[row], 1)
-    best, best_fit, members = share, fit - (most - 1) * PENALTY * np.log(size + 1), np.full(n, most)
-    for m in range(most - 1, 0, -1):
-        own, fit = _mixture(row, p[:, :m], count, size)
-        fit = fit - (m - 1) * PENALTY * np.log(size + 1)
+    penalty = PENALTY * np.log(size + 1)
+    chosen, p = np.tile(np.arange(langs), (n, 1)), model["p"][bucket]
+    best, best_fit, members, taken = np.zeros((n, langs)), np.full(n, -np.inf), np.full(n, langs), chosen.copy()
+    for m in range(langs, 0, -1):
+        share, fit = _mixture(row, p, count, size)
+        fit = fit - (m - 1) * penalty
+        order = np.argsort(-share, 1, kind="stable")
+        chosen[:, :m] = np.take_along_axis(chosen[:, :m], order, 1)
         better = fit >= best_fit
-        own = np.pad(own, ((0, 0), (0, most - m)))
-        best = np.where(better[:, None], own, best)
+        own = np.pad(np.take_along_axis(share, order, 1), ((0, 0), (0, langs - m)))
+        best, taken = np.where(better[:, None], own, best), np.where(better[:, None], chosen, taken)
         best_fit, members = np.where(better, fit, best_fit), np.where(better, m, members)
+        p = np.take_along_axis(p, order[row][:, : m - 1], 1)
+    for m in range(langs, 1, -1):
+        _drop(m, row, bucket, count, size, model, best, best_fit, members, taken)
     order = np.argsort(-best, 1, kind="stable")
-    return np.take_along_axis(chosen, order, 1), np.take_along_axis(best, order, 1), members
+    return np.take_along_axis(taken, order, 1), np.take_along_axis(best, order, 1), members
+
+
+def _drop(m: int, row, bucket, count, size, model, best, best_fit, members, taken) -> None:
+    """Take from the sets of ``m`` languages the one whose loss raises the penalised
+    likelihood most, if any does."""
+    docs = np.flatnonzero(members == m)
+    at = np.flatnonzero((members == m)[row])
+    if not len(docs):
+        return
+    own = np.searchsorted(docs, row[at])
+    before = taken[docs, :m]
+    p = np.take_along_axis(model["p"][bucket[at]], before[own], 1)
+    for d in range(m):
+        share, fit = _mixture(own, np.delete(p, d, 1), count[at], size[docs])
+        fit = fit - (m - 2) * PENALTY * np.log(size[docs] + 1)
+        better = np.flatnonzero(fit > best_fit[docs])
+        to = docs[better]
+        rest = np.delete(np.arange(m), d)
+        best[to] = 0
+        best[to, : m - 1] = share[better]
+        taken[to, :m] = before[better][:, [*rest, d]]
+        best_fit[to], members[to] = fit[better], m - 1
 
 
 def scorer(model: dict[str, Any]) -> Callable[[Column], Column]:
@@ -149,7 +169,7 @@ def scorer(model: dict[str, Any]) -> Callable[[Column], Column]:
         out = []
         lettered = pc.match_substring_regex(texts.fill_null(""), r"\p{L}").to_pylist()
         names = np.array([*model["langs"], UNKNOWN], object)
-        for i, j in slices(texts):
+        for i, j in slices(texts, SLICE_BYTES * 3 // max(len(names) - 1, 3)):
             if not model["langs"]:
                 out += [{"lang": UNKNOWN, "share": 0.0, "langs": ""}] * (j - i)
                 continue

@@ -470,6 +470,17 @@ def test_mixture_shares(spark):
     assert share[0, :2].min() > 0.35
 
 
+def test_mixture_of_four(spark):
+    docs = table(spark, SMALL, "documents")
+    model = langid.learn(docs)
+    longest = {x: docs.where(F.col("lang") == x).orderBy(F.length("text").desc()).first()["text"] for x in model["langs"]}
+    assert len(longest) == 4
+    text = " ".join(t[:2500] for t in longest.values())
+    chosen, share, members = langid.infer(pa.array([text, "", longest["en"]]), model)
+    assert members.tolist() == [4, 1, 1] and sorted(chosen[0]) == [0, 1, 2, 3]
+    assert share[0].min() > 0.15 and share[0].sum() == pytest.approx(1)
+
+
 # mixing
 
 
