@@ -1,12 +1,28 @@
-"""The registered queries of the ten operators, and their SQL where SQL can
+"""The registered queries of the operators, and their SQL where SQL can
 express them. Each runs over its whole table with the default parameters."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, gridjoin, langid, linededup, mixing, orderhash, pii, quality, substrings, toxicity
+from . import (
+    audit,
+    collocations,
+    decontam,
+    gridjoin,
+    langid,
+    linededup,
+    mixing,
+    orderhash,
+    pieces,
+    pii,
+    quality,
+    substrings,
+    toxicity,
+)
 from .tables import fold, table
 
 
@@ -95,6 +111,34 @@ def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def piece_model() -> bytes:
+    """The vocabulary that op11 uses, read once by the driver."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+
+
+def op11_distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode_documents(documents, piece_model())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_suffix_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_matrix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit.audit_filters(documents, table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,6 +152,9 @@ QUERIES = {
         op8_toxic_spans,
         op9_pivotal_mixing,
         op10_suffix_automata,
+        op11_distinct_chunks,
+        op12_suffix_collocations,
+        op13_matrix_audit,
     )
 }
 
@@ -174,8 +221,101 @@ SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+_PHRASES = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\n\x0B\f\r]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), places AS (
+  SELECT lang, words, unnest(generate_series(1, len(words))) AS i FROM w
+), grams AS (
+  SELECT lang, d, array_to_string(list_slice(words, i, i + d - 1), ' ') AS g
+  FROM (SELECT *, unnest([1, 2, 3]) AS d FROM places) WHERE i + d - 1 <= len(words)
+), f AS (
+  SELECT lang, g, d, count(*) AS n FROM grams GROUP BY ALL
+), size AS (
+  SELECT lang, sum(n) AS n FROM f WHERE d = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, g, d, n AS a, string_split(g, ' ') AS w FROM f WHERE d > 1 AND n >= 10
+), part AS (
+  SELECT *, array_to_string(list_slice(w, 1, k), ' ') AS g1, array_to_string(list_slice(w, k + 1, d), ' ') AS g2
+  FROM (SELECT *, unnest(generate_series(1, d - 1)) AS k FROM cand)
+), cut AS (
+  SELECT p.lang, p.g, p.a, p.k, x.n AS l, y.n AS r,
+         (1000000::HUGEINT * p.a * p.a) // (x.n::HUGEINT * y.n) AS score
+  FROM part p JOIN f x ON x.lang = p.lang AND x.g = p.g1 JOIN f y ON y.lang = p.lang AND y.g = p.g2
+), weakest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, g, max(a) AS a FROM (
+    SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS g, a FROM cand WHERE d = 3) GROUP BY lang, g
+), shown AS (
+  SELECT w.lang, w.g AS phrase, w.a, w.l, w.r, w.score
+  FROM weakest w LEFT JOIN longer x ON x.lang = w.lang AND x.g = w.g
+  WHERE x.a IS NULL OR 100 * x.a < 50 * w.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM shown
+)
+SELECT lang, rank, phrase, a, l, r, cast(size.n AS BIGINT) AS n, cast(score AS BIGINT) AS score
+FROM ranked JOIN size USING (lang) WHERE rank <= 2000
+"""
+
+_AUDIT = """
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), first AS (
+  SELECT text, min(doc_id) AS lo FROM w GROUP BY text
+), judged AS (
+  SELECT part, doc_id, [
+    len(words) < 200,
+    100 * len(list_distinct(words)) < 50 * len(words),
+    100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 2 * length(w.text),
+    regexp_matches(w.text, '[#$%&*|]'),
+    coalesce(doc_id > lo, false)
+  ] AS fails FROM w JOIN first USING (text)
+), known AS (
+  SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, fails, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad, count(*) AS n
+  FROM judged LEFT JOIN known USING (doc_id) GROUP BY ALL
+), f AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS x
+), orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders
+), cases AS (
+  SELECT part, o, step, o[step] AS filter, n, good, bad, fails[o[step]] AS hit,
+         len(list_filter(list_slice(o, 1, step - 1), lambda x: fails[x])) > 0 AS gone,
+         len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM masks, steps
+), counted AS (
+  SELECT part, o, step, filter,
+         sum(n) FILTER (NOT hit AND NOT gone) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed,
+         sum(n) FILTER (hit AND gone) AS redundant, sum(n) FILTER (hit AND n_fails = 1) AS unique_fails,
+         sum(n) FILTER (hit AND NOT gone AND good) AS good_lost, sum(n) FILTER (hit AND NOT gone AND bad) AS toxic_lost
+  FROM cases GROUP BY ALL
+)
+SELECT part, array_to_string(list_transform(o, lambda x: substring('ABCDE', x, 1)), '') AS filter_order,
+       cast(step AS INTEGER) AS step,
+       cast(coalesce(kept, 0) AS BIGINT) AS kept, cast(coalesce(removed, 0) AS BIGINT) AS removed,
+       cast(coalesce(redundant, 0) AS BIGINT) AS redundant, cast(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       cast(coalesce(good_lost, 0) AS BIGINT) AS good_lost, cast(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       cast(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM counted
+"""
+
 ORACLES = {
     "op3_grid_order_join": _LINKS,
     "op4_line_hash_dedup": _LINES,
     "op10_suffix_automata": _REPEATS,
+    "op12_suffix_collocations": _PHRASES,
+    "op13_matrix_audit": _AUDIT,
 }
