@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .blocks import Words
+from .blocks import Words, flat
 
 SLICE_BYTES = 4_000_000
 
@@ -20,6 +20,16 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.LargeStringArray:
     return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, buffers)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def lowered(texts: pa.Array) -> pa.LargeStringArray:
+    """The texts with A-Z in lower case; null texts are empty."""
+    data, offsets = flat(texts)
+    return strings(_LOWER[data], offsets)
+
+
 class Coded:
     """Words of a slice between bytes of ``separators``."""
 

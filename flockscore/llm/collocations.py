@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import flat, slices
-from .coded import SLICE_BYTES, Coded, strings
+from .coded import SLICE_BYTES, Coded, lowered, strings
 from .tables import arrow_rows, written
 
 LEAST = 10
@@ -55,8 +55,7 @@ class Suffixes:
     """The words of a slice, numbered with their language, and the pieces they are in."""
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
-        texts = pc.ascii_lower(texts.fill_null("").cast(pa.large_string()))
-        self.coded = coded = Coded(texts, _SEPARATORS)
+        self.coded = coded = Coded(lowered(texts), _SEPARATORS)
         langs = langs.fill_null("und").dictionary_encode()
         self.langs, self.width = langs.dictionary, max(len(coded.distinct), 1)
         lang = langs.indices.to_numpy().astype(np.int64)
