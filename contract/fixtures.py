@@ -12,7 +12,7 @@ from datetime import datetime
 from functools import wraps
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockscore.plans.registry import Inputs
@@ -82,13 +82,6 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     e = _with_row_of(events, documents, "doc_id", "event_id")
     number = F.col("event_id")
-    mention = F.array(
-        F.expr(
-            "named_struct('user_id', user_id, 'start', 0, 'end', 1, "
-            "'username', 'u', 'screen_name', 'u', 'text', 'u')"
-        ).cast(MENTION)
-    )
-    nobody = F.array().cast(f"array<{MENTION}>")
     tags = F.array(
         F.col("event_type"), F.when(number % 2 == 0, F.col("doc_source"))
     )
@@ -111,18 +104,29 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(
             (number % 4 == 0) & (number > 7), number - 1 - number % 7
         ).alias("in_reply_to_status_id"),
-        F.when(number % 10 < F.col("user_id") % 10, mention)
-        .otherwise(nobody)
-        .alias("mentions"),
-        F.transform(
-            tags,
-            lambda t: F.struct(
-                F.lit(0).alias("start"), F.lit(1).alias("end"), t.alias("text")
-            ),
-        )
-        .cast(f"array<{HASHTAG}>")
-        .alias("hashtags"),
+        _mentions(number, F.col("user_id")),
+        _hashtags(tags),
+    )
+
+
+def _mentions(number: Column, account: Column) -> Column:
+    """Accounts with a higher last digit than the post's mention themselves."""
+    parts = {"user_id": account, "start": F.lit(0), "end": F.lit(1)}
+    parts |= dict.fromkeys(("username", "screen_name", "text"), F.lit("u"))
+    mention = F.struct(*[c.alias(n) for n, c in parts.items()]).cast(MENTION)
+    nobody = F.array().cast(f"array<{MENTION}>")
+    mentions = F.when(number % 10 < account % 10, F.array(mention)).otherwise(nobody)
+    return mentions.alias("mentions")
+
+
+def _hashtags(tags: Column) -> Column:
+    spans = F.transform(
+        tags,
+        lambda t: F.struct(
+            F.lit(0).alias("start"), F.lit(1).alias("end"), t.alias("text")
+        ),
     )
+    return spans.cast(f"array<{HASHTAG}>").alias("hashtags")
 
 
 @once
@@ -224,6 +228,11 @@ def old_posts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(priority == "1-URGENT", key + OLD_POSTS - 1).alias(
             "in_reply_to_status_id"
         ),
+        F.concat(F.lit("order #"), "o_orderstatus", F.lit(" "), priority).alias(
+            "status_text"
+        ),
+        _mentions(key, F.col("o_custkey")),
+        _hashtags(F.array("o_orderstatus", "o_orderpriority")),
     )
 
 
@@ -236,11 +245,10 @@ def old_entities(spark: SparkSession, sf: str) -> DataFrame:
         *[F.col("_url").alias(n) for n in ("display_url", "expanded_url", "url", "text")]
     )
     linked = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    tags = F.array("o_orderstatus", "o_orderpriority")
     return orders.select(
         F.col("o_custkey").alias("status_user_id"),
         F.when(linked, F.array(link)).alias("urls"),
-        F.transform(tags, lambda t: F.struct(t.alias("text"))).alias("hashtags"),
+        _hashtags(F.array("o_orderstatus", "o_orderpriority")),
     )
 
 
@@ -314,6 +322,14 @@ def live(spark: SparkSession, sf: str) -> Inputs:
     )
 
 
+@once
+def fetched(spark: SparkSession, sf: str) -> Inputs:
+    """The fetched history alone."""
+    return Inputs(
+        history(spark, sf), history_users(spark, sf), AS_OF, source_q=source_q(spark)
+    )
+
+
 @once
 def both(spark: SparkSession, sf: str) -> Inputs:
     """History first, the stream as second dataset."""

@@ -111,17 +111,20 @@ CTES["old_posts"] = """
                 when '3-MEDIUM' then 'fr' else 'und' end as lang,
            o_orderstatus as status_source, 0 as isretweet,
            if(o_orderpriority = '1-URGENT', 1000000000000 + o_orderkey - 1, null)
-               as reply_to
+               as reply_to,
+           if(o_orderkey % 10 < o_custkey % 10, 1, 0) as n_mentions
     from (select *, o_orderdate + to_seconds(o_orderkey * 7 % 86400) as made
           from orders)"""
 CTES["history"] = """
     select id, recorded_at + interval 1 day as recorded_at, created_at,
            3 as session_id, status_user_id, lang, status_source, isretweet,
-           reply_to
+           reply_to, n_mentions
     from posts
     union all select * from old_posts"""
 CTES["history_users"] = """
-    select a.*, h.recorded_at, h.session_id
+    select a.* replace (cast(a.followers_count + h.id % 50 as int)
+                        as followers_count),
+           h.recorded_at, h.session_id
     from accounts a join history h on h.status_user_id = a.id"""
 CTES["source_q"] = """
     select * from (values ('click', 0.0::double, 0.0::double), ('view', 0.2, 0.0),
@@ -301,6 +304,11 @@ CTES["k_ko_source"] = """
            if(avg(kobotscore) > 0.5, 1.0, 0.0) as kobotscore
     from qualified group by userid"""
 
+# the same indicators over the fetched history
+for _name in [n for n in CTES if n.startswith("k_") or n == "qualified"]:
+    _sql = re.sub(r"\busers\b", "history_users", re.sub(r"\bposts\b", "history", CTES[_name]))
+    CTES["h" + _name.removeprefix("k")] = re.sub(r"\bqualified\b", "hqualified", _sql)
+
 # ----------------------------------------------------------- composition
 
 
@@ -360,35 +368,45 @@ CTES["stage2_total"] = """
     group by userid"""
 CTES["bots2"] = "select userid from stage2_total where totalbotscore > 0.5"
 CTES["bots1"] = "select userid from stage1_total where totalbotscore > 0.5"
+HISTORY = {n: "h_" + n.lower() for n in BATCH_KPIS}
 CTES["batch"] = f"""
     select kpiname, userid, botscore, 1.0 as weight
     from ({_grid(BATCH_KPIS, LISTED)}) g
-    left join ({_long(BATCH_KPIS)}) k using (kpiname, userid)"""
+    left join ({_long(BATCH_KPIS, HISTORY)}) k using (kpiname, userid)"""
 CTES["batch_total"] = """
     select userid, round(sum(botscore * weight) / sum(weight), 9) as totalbotscore
     from batch group by userid"""
 CTES["ko"] = f"""
     select kpiname, userid, kobotscore
     from ({_grid(["KOSOURCEQUALIFICATION"], LISTED)}) g
-    left join k_ko_source k using (kpiname, userid)"""
+    left join h_ko_source k using (kpiname, userid)"""
 CTES["ko_total"] = """
     select userid, max(kobotscore) as totalkobotscore from ko group by userid"""
 CTES["integrated"] = """
     select userid, greatest(totalkobotscore, totalbotscore) as totalscore
     from batch_total full join ko_total using (userid)"""
 _default = " ".join(f"when '{n}' then {v}" for n, v in ABSENT.items())
-CTES["single"] = f"""
+
+
+def _single(prefix: str, dataset: str) -> None:
+    """Scores of single accounts from one dataset: indicators, total, score."""
+    names = {n: f"{dataset}_{n.lower()}" for n in PERUSER_KPIS}
+    names |= {n: re.sub("^k", dataset, own) for n, own in OWN.items()}
+    CTES[f"{prefix}"] = f"""
     select kpiname, userid,
            coalesce(botscore, case kpiname {_default} end) as botscore
     from ({_grid(PERUSER_KPIS, LISTED)}) g
-    left join ({_long(PERUSER_KPIS, OWN)}) k using (kpiname, userid)"""
-CTES["single_total"] = """
+    left join ({_long(PERUSER_KPIS, names)}) k using (kpiname, userid)"""
+    CTES[f"{prefix}_total"] = f"""
     select userid, round(avg(botscore), 9) as totalbotscore
-    from single group by userid"""
-CTES["single_score"] = """
-    select userid, greatest(totalbotscore, coalesce(totalkobotscore, 0))
-               as totalscore
-    from single_total left join ko_total using (userid)"""
+    from {prefix} group by userid"""
+    CTES[f"{prefix}_score"] = f"""
+    select t.userid, greatest(totalbotscore, coalesce(kobotscore, 0)) as totalscore
+    from {prefix}_total t left join {dataset}_ko_source k using (userid)"""
+
+
+_single("single", "h")
+_single("live_single", "k")
 
 # ----------------------------------------------------------------- texts
 

@@ -256,7 +256,7 @@ def _single(name: str) -> None:
 
     @query(f"kpi_{name.lower()}_peruser", kpi(source))
     def _(spark, sf):
-        rows = sc.kpi_rows(fx.live(spark, sf), PERUSER, [name])
+        rows = sc.kpi_rows(fx.fetched(spark, sf), PERUSER, [name])
         table = sc.kpi_table(rows, _listed(spark, sf), PERUSER)
         return table.where(F.col("kpiname") == name).drop("weight")
 
@@ -314,12 +314,12 @@ def _(spark, sf):
 
 
 def _batch_table(spark, sf):
-    rows = sc.kpi_rows(fx.live(spark, sf), BATCH)
+    rows = sc.kpi_rows(fx.fetched(spark, sf), BATCH)
     return sc.kpi_table(rows, _listed(spark, sf), BATCH)
 
 
 def _batch_ko(spark, sf):
-    rows = sc.kpi_rows(fx.live(spark, sf), BATCH, list(BATCH.knockouts))
+    rows = sc.kpi_rows(fx.fetched(spark, sf), BATCH, list(BATCH.knockouts))
     return sc.ko_table(rows, _listed(spark, sf), BATCH)
 
 
@@ -359,19 +359,19 @@ EXPORT = """
 @query("batch_export", EXPORT)
 def batch_export(spark, sf):
     listed = fx.challenge(spark, sf)
-    scores = sc.score(fx.live(spark, sf), _listed(spark, sf), BATCH)
+    scores = sc.score(fx.fetched(spark, sf), _listed(spark, sf), BATCH)
     return sc.export(listed, scores)
 
 
 @query("peruser_total", rounded("single_total", "totalbotscore", "userid"))
 def _(spark, sf):
-    rows = sc.kpi_rows(fx.live(spark, sf), PERUSER)
+    rows = sc.kpi_rows(fx.fetched(spark, sf), PERUSER)
     return sc.weighted_total(sc.kpi_table(rows, _listed(spark, sf), PERUSER))
 
 
 @query("peruser_score", rounded("single_score", "totalscore", "userid"))
 def _(spark, sf):
-    return sc.score(fx.live(spark, sf), _listed(spark, sf), PERUSER)
+    return sc.score(fx.fetched(spark, sf), _listed(spark, sf), PERUSER)
 
 
 @query(
@@ -380,7 +380,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     one = _listed(spark, sf).where("userid = 7")
-    return sc.score(sc.of_account(fx.live(spark, sf), 7), one, PERUSER)
+    return sc.score(sc.of_account(fx.fetched(spark, sf), 7), one, PERUSER)
 
 
 WRITE_BACK = """
@@ -389,13 +389,13 @@ WRITE_BACK = """
            c.maxtweetid
     from challenge c left join (
         select userid, totalscore from single_score
-        where userid in (select status_user_id from posts)) s
+        where userid in (select status_user_id from history)) s
         on s.userid = c.user_id"""
 
 
 @query("peruser_write_back", WRITE_BACK)
 def _(spark, sf):
-    inputs = fx.live(spark, sf)
+    inputs = fx.fetched(spark, sf)
     scores = sc.score(inputs, sc.accounts_of(inputs.status), PERUSER)
     return sc.write_back(fx.challenge(spark, sf), scores)
 
@@ -929,7 +929,7 @@ def _(spark, sf):
 @query(
     "stream_rescore",
     rounded(
-        "single_score where userid in (select status_user_id from posts)",
+        "live_single_score where userid in (select status_user_id from posts)",
         "totalscore",
         "userid",
     ),

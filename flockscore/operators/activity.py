@@ -52,8 +52,21 @@ def _with_tile_range(groups: DataFrame, tiles: int) -> DataFrame:
     )
 
 
+def session_counts(status: DataFrame) -> DataFrame:
+    """(userid, sessionid, anz): posts by account and session, copies included."""
+    return status.groupBy(
+        F.col("status_user_id").alias("userid"),
+        F.col("session_id").alias("sessionid"),
+    ).agg(count_rows().alias("anz"))
+
+
 def post_tiles(status: DataFrame, *, tiles: int = 20) -> DataFrame:
-    """``ntile`` over all (account, session) pairs by number of posts.
+    """``ntile`` over all (account, session) pairs by number of posts."""
+    return tiles_of(session_counts(status), tiles=tiles)
+
+
+def tiles_of(counts: DataFrame, *, tiles: int = 20) -> DataFrame:
+    """``ntile`` over the rows of ``session_counts`` by number of posts.
 
     Ties are ordered by (userid mod 1021, userid, sessionid). No task sorts all
     pairs. A histogram of the post counts settles every count whose pairs share
@@ -61,14 +74,8 @@ def post_tiles(status: DataFrame, *, tiles: int = 20) -> DataFrame:
     most ``tiles`` - 1 counts straddle a border. A second histogram over their
     tie groups leaves at most ``tiles`` - 1 groups to be ranked pair by pair.
     """
-    pairs = (
-        status.groupBy(
-            F.col("status_user_id").alias("userid"),
-            F.col("session_id").alias("sessionid"),
-        )
-        .agg(count_rows().alias("anz"))
-        .withColumn("tie", F.coalesce(F.pmod("userid", F.lit(TIE_GROUPS)), F.lit(0)))
-    )
+    tie = F.coalesce(F.pmod("userid", F.lit(TIE_GROUPS)), F.lit(0))
+    pairs = counts.withColumn("tie", tie)
 
     by_count = W.orderBy("anz")
     counts = pairs.groupBy("anz").agg(count_rows().alias("size"))
@@ -144,8 +151,12 @@ def kpi_decilposts(
     status: DataFrame, *, tiles: int = 20, above: int = 10
 ) -> DataFrame:
     """K5: the upper tiles by number of posts, one row per account and session."""
+    return scored_tiles(post_tiles(status, tiles=tiles), tiles=tiles, above=above)
+
+
+def scored_tiles(placed: DataFrame, *, tiles: int = 20, above: int = 10) -> DataFrame:
     tile = F.col("decil")
-    return post_tiles(status, tiles=tiles).select(
+    return placed.select(
         F.lit("DECILPOSTS").alias("kpiname"),
         "userid",
         F.when(tile > above, tile / tiles).otherwise(0.0).alias("botscore"),

@@ -11,19 +11,12 @@ from flockscore.functions.joins import spread_join
 from flockscore.operators.snapshots import local_posts
 
 
-def kpi_reactiontime(
-    *datasets: tuple[DataFrame, DataFrame],
-    seconds: float = 5,
-    self_only: bool = False,
-) -> DataFrame:
-    """K9: a reply within ``seconds`` of its parent, by the local clocks.
+def reply_gaps(posts: DataFrame, answered: DataFrame, self_only: bool = False) -> DataFrame:
+    """(userid, gap): microseconds from a post to each reply, by the local clocks.
 
-    Both times are shifted by the offsets of their authors, so different
-    offsets distort the gap and negative gaps count as fast. ``self_only``
-    looks only at replies to the account's own posts. A post that draws a large
-    part of all replies is spread over many tasks.
+    ``posts`` are ``local_posts``; ``answered`` has the ``parent_id`` of all replies,
+    and tells which posts draw a large part of them: they are spread over many tasks.
     """
-    posts = local_posts(*datasets)
     replies = posts.where(F.col("in_reply_to_status_id") > 0).select(
         F.col("in_reply_to_status_id").alias("parent_id"),
         "userid",
@@ -35,13 +28,6 @@ def kpi_reactiontime(
         *(["userid"] if self_only else []),
         F.unix_micros("local_at").alias("parent_at"),
     )
-    answered = reduce(
-        DataFrame.unionByName,
-        [
-            status.select(F.col("in_reply_to_status_id").alias("parent_id"))
-            for status, _ in datasets
-        ],
-    )
     gaps = spread_join(
         replies,
         parents,
@@ -49,7 +35,30 @@ def kpi_reactiontime(
         spread_by=["reply_id"],
         keys_of=answered.where(F.col("parent_id") > 0),
         also_on=("userid",) if self_only else (),
-    ).withColumn("gap", F.col("reply_at") - F.col("parent_at"))
+    )
+    return gaps.select("userid", (F.col("reply_at") - F.col("parent_at")).alias("gap"))
+
+
+def kpi_reactiontime(
+    *datasets: tuple[DataFrame, DataFrame],
+    seconds: float = 5,
+    self_only: bool = False,
+) -> DataFrame:
+    """K9: a reply within ``seconds`` of its parent, by the local clocks.
+
+    Both times are shifted by the offsets of their authors, so different
+    offsets distort the gap and negative gaps count as fast. ``self_only``
+    looks only at replies to the account's own posts. A post that draws a large
+    part of all replies is spread over many tasks.
+    """
+    answered = reduce(
+        DataFrame.unionByName,
+        [
+            status.select(F.col("in_reply_to_status_id").alias("parent_id"))
+            for status, _ in datasets
+        ],
+    )
+    gaps = reply_gaps(local_posts(*datasets), answered, self_only)
     facts = gaps.groupBy("userid").agg(
         (F.min("gap") / 1e6).alias("minawz"),
         (F.sum("gap") / F.count("gap") / 1e6).alias("mittelawz"),

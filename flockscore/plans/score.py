@@ -8,11 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flockscore.operators.activity import NIGHT, local_hour
-from flockscore.operators.language import mismatch, mismatch_counts
-from flockscore.operators.profile import profile_facts
-from flockscore.operators.snapshots import with_author
-from flockscore.operators.source import knocked_out, source_facts
+from flockscore.plans.facts import KINDS, standard_rows, tile_rows
 from flockscore.plans.registry import (
     BATCH,
     STAGE1,
@@ -34,86 +30,30 @@ def challenge_accounts(challenge: DataFrame) -> DataFrame:
     return challenge.select(F.col("user_id").alias("userid")).distinct()
 
 
-def _tall(facts: DataFrame, scores: dict[str, str]) -> DataFrame:
-    """One row per indicator out of the score columns of ``facts``."""
-    rows = F.array(
-        *[
-            F.struct(F.lit(name).alias("kpiname"), F.col(column).alias("botscore"))
-            for name, column in scores.items()
-        ]
-    )
-    return facts.select("userid", F.inline(rows)).select(_ROW)
-
-
-def _profile_rows(inputs: Inputs) -> DataFrame:
-    return _tall(
-        profile_facts(inputs.users, as_of=inputs.as_of),
-        {
-            "PROFILEAGE": "age_score",
-            "NAMDESCLEN": "name_score",
-            "ANZFOLLOW": "follow_score",
-        },
-    )
-
-
-def _source_rows(inputs: Inputs) -> DataFrame:
-    facts = source_facts(inputs.status, inputs.source_q)
-    return _tall(
-        facts.withColumn("ko", knocked_out()),
-        {"SOURCEQUALIFICATION": "botscore", "KOSOURCEQUALIFICATION": "ko"},
-    )
-
-
-def _author_rows(inputs: Inputs) -> DataFrame:
-    """K6 and K8 from a single join of posts and snapshots.
-
-    Copies of a post cannot change whether there is one at night.
-    """
-    at_night = F.count_if(local_hour().isin(*NIGHT))
-    facts = (
-        with_author(inputs.status, inputs.users)
-        .groupBy("userid")
-        .agg(*mismatch_counts(), at_night.alias("n_night"))
-        .withColumn("lang_score", mismatch())
-        .withColumn(
-            "night_score", F.when(F.col("n_night") > 0, 1.0).otherwise(0.0)
-        )
-    )
-    return _tall(
-        facts, {"LANGUSERTWEETS": "lang_score", "STATUSFREQUENCY": "night_score"}
-    )
-
-
-# Indicators that share one pass when a profile wants all of them.
-_SHARED = (
-    (("PROFILEAGE", "NAMDESCLEN", "ANZFOLLOW"), _profile_rows),
-    (("SOURCEQUALIFICATION", "KOSOURCEQUALIFICATION"), _source_rows),
-    (("LANGUSERTWEETS", "STATUSFREQUENCY"), _author_rows),
-)
-
-
 def kpi_rows(
     inputs: Inputs, profile: Profile, names: list[str] | None = None
 ) -> DataFrame:
     """The indicators in long form, (kpiname, userid, botscore).
 
-    Equal rows count once. Only indicators with several rows per account can
-    have any, so only those are made distinct.
+    Standard indicators share their passes over the posts; registered ones, and
+    those that a caller has replaced, are built alone. Equal rows count once. Only
+    indicators with several rows per account can have any, so only those are made
+    distinct.
     """
     wanted = list(profile.weights) if names is None else list(names)
-    parts = []
-    for shared, build in _SHARED:
-        standard = all(
-            name in wanted and profile.indicator(name) is STANDARD[name]
-            for name in shared
-        )
-        if standard and inputs.other_status is None:
-            parts.append(build(inputs))
-            wanted = [name for name in wanted if name not in shared]
+    shared = {}
     for name in wanted:
-        indicator = profile.indicator(name)
-        rows = indicator.build(inputs).select(_ROW)
-        parts.append(rows.distinct() if indicator.many else rows)
+        of = profile.renamed.get(name, name)
+        if of in KINDS and profile.indicator(name) is STANDARD[of]:
+            shared[name] = of
+    parts = [standard_rows(inputs, shared)] if shared else []
+    for name in wanted:
+        if name == "DECILPOSTS" and profile.indicator(name) is STANDARD[name]:
+            parts.append(tile_rows(inputs.status))
+        elif name not in shared:
+            indicator = profile.indicator(name)
+            rows = indicator.build(inputs).select(_ROW)
+            parts.append(rows.distinct() if indicator.many else rows)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -9,9 +9,9 @@ from frames import T0
 from contract import fixtures as fx
 from contract import queries
 from flockscore import operators as op
+from flockscore.plans import facts, texts
 from flockscore.plans import score as sc
-from flockscore.plans import texts
-from flockscore.plans.registry import BATCH, PERUSER
+from flockscore.plans.registry import BATCH, PERUSER, STAGE2, Inputs
 
 SF = "/root/testdata/sf0.001"
 AS_OF = datetime(2024, 1, 31)
@@ -43,6 +43,47 @@ def test_cartesian_products_only_with_one_row(spark, live):
         assert loops and all("BuildRight, Cross" in loop for loop in loops)
 
 
+def _scans(spark, build):
+    """Scans of posts in all plans that ``build`` and its result have run."""
+    seen = []
+
+    def count(df):
+        df.collect()
+        ran = plan(df).split("== Initial Plan ==")[0]
+        seen.append(len(re.findall(r"FileScan parquet \[[^]]*status_user_id", ran)))
+
+    stored = facts.materialise
+
+    def watched(df, path):
+        count(df)
+        return stored(df, path)
+
+    facts.materialise = watched
+    try:
+        count(build())
+    finally:
+        facts.materialise = stored
+    return sum(seen)
+
+
+@pytest.mark.parametrize("name, most", [("batch", 3), ("peruser", 2), ("stage2", 4)])
+def test_scoring_reads_the_posts_at_most_three_times(spark, tmp_path, name, most):
+    """``most`` is for all datasets together: stage two has two of them."""
+    for frame, df in (("p", fx.posts(spark, SF)), ("u", fx.users(spark, SF)), ("h", fx.history(spark, SF))):
+        df.write.parquet(str(tmp_path / frame))
+    read = {n: spark.read.parquet(str(tmp_path / n)) for n in "puh"}
+    known = fx.source_q(spark)
+    one = Inputs(read["p"], read["u"], AS_OF, known)
+    two = Inputs(read["h"], read["u"], AS_OF, known, read["p"], read["u"])
+    listed = sc.challenge_accounts(fx.challenge(spark, SF))
+    builds = {
+        "batch": lambda: sc.score(one, listed, BATCH),
+        "peruser": lambda: sc.score(one, listed, PERUSER),
+        "stage2": lambda: sc.kpi_rows(two, STAGE2),
+    }
+    assert _scans(spark, builds[name]) == most
+
+
 def test_windows_never_hold_all_rows(live):
     for df in (
         op.kpi_tweetfreq(live.status),
