@@ -33,11 +33,13 @@ from pyspark.sql import types as T
 
 from .blocks import BASE, BASE_INVERSE, Words, mix, powers, shingle_hashes, slices, space_bytes
 from .orderhash import content_keys
-from .tables import without, written
+from .tables import arrow_rows, without, written
 
 WINDOW = 35
 GRAM = 6
 MOST_PASSAGES = 1000
+SLICE_BYTES = 500_000  # of text whose words a task holds as arrays at a time
+BATCH_ROWS = 1000  # texts sent to Python at a time
 
 
 def _words(texts: pa.Array) -> Words:
@@ -95,14 +97,14 @@ _KEY = T.LongType()
 @F.arrow_udf(_KEY)
 def text_key(texts: pa.Array) -> pa.Array:
     """64 bits of the text's word sequence."""
-    parts = [content_keys(_words(texts.slice(i, j - i)))[0] for i, j in slices(texts)]
+    parts = [content_keys(_words(texts.slice(i, j - i)))[0] for i, j in slices(texts, SLICE_BYTES)]
     return pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(0)
-        for i, j in slices(texts):
+        for i, j in slices(texts, SLICE_BYTES):
             words = _words(texts.slice(i, j - i))
             found = Passages(words)
             key = content_keys(words)[0]
@@ -128,7 +130,7 @@ def _passage_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     )
     for batch in batches:
         texts = batch.column("text")
-        for i, j in slices(texts):
+        for i, j in slices(texts, SLICE_BYTES):
             words = _words(texts.slice(i, j - i))
             hashes, key = words.hashes(), content_keys(words)[0].view(np.int64)
             codes = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -259,6 +261,11 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_places(documents: DataFrame) -> DataFrame:
     """(k, spots): for each text key the places of repeated windows, as (place, bits):
     place // 64 is the first word, bit i the window from i words on."""
+    with arrow_rows(documents.sparkSession, BATCH_ROWS):
+        return _repeated_places(documents)
+
+
+def _repeated_places(documents: DataFrame) -> DataFrame:
     texts = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text")
     places = texts.select("text").mapInArrow(_anchors, "k long, place long, h long, r long")
     anchors = (
