@@ -46,6 +46,9 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string",
     "conversations": "text string",
     "labels": "doc_id bigint, toxic int",
+    "nation": "n_nationkey int, n_name string",
+    "region": "r_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, "
     "event_type string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
@@ -447,8 +450,9 @@ def tweets(spark: SparkSession, sf: str) -> DataFrame:
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """The stream with control messages and rubbish in between.
 
-    Toxic documents give deletion notices, the turns of conversations lines
-    that are no JSON.
+    Toxic documents give deletion notices, suppliers limit notices, nations stall
+    warnings, regions notices to remove places, the turns of conversations lines that
+    are no JSON.
     """
     notice = F.struct(
         F.struct(
@@ -457,10 +461,17 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("delete")
     )
     toxic = table(spark, sf, "labels").where(F.col("toxic") == 1)
+    track = F.struct(F.struct(F.col("s_suppkey").alias("track")).alias("limit"))
+    region = F.col("r_regionkey").cast("bigint")
+    scrub = F.struct(F.struct(region.alias("user_id"), region.alias("up_to_status_id")).alias("scrub_geo"))
+    stall = F.struct(F.struct(F.lit("FALLING_BEHIND").alias("code"), F.col("n_name").alias("message")).alias("warning"))
     spoken = F.regexp_replace(F.concat(F.lit("> "), "text"), "[\r\n]+", " ")
     return (
         messages(spark, sf)
         .unionByName(toxic.select(F.to_json(notice).alias("value")))
+        .unionByName(table(spark, sf, "supplier").select(F.to_json(track).alias("value")))
+        .unionByName(table(spark, sf, "region").select(F.to_json(scrub).alias("value")))
+        .unionByName(table(spark, sf, "nation").select(F.to_json(stall).alias("value")))
         .unionByName(
             table(spark, sf, "conversations").select(spoken.alias("value"))
         )

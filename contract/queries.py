@@ -13,12 +13,13 @@ from flockscore import operators as op
 from flockscore.plans import reports, texts
 from flockscore.plans import score as sc
 from flockscore.plans.registry import BATCH, PERUSER
-from flockscore.schemas import CHALLENGE
+from flockscore.schemas import CHALLENGE, SESSION
 from flockscore.session import materialise, run_dir
 from flockscore.sources import normalise as norm
 from flockscore.sources import tables
+from flockscore.sources.sessions import open_session
 from flockscore.sources.tweets import admit
-from flockscore.streaming import ingest, rescore
+from flockscore.streaming import ingest, rescore, rolling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -883,6 +884,20 @@ def _(spark, sf):
 # ------------------------------------------------------------- streaming
 
 
+KEPT = """select id, status_user_id, date_trunc('second', created_at) as created_at,
+              lang, cast(n_mentions as bigint) as n_mentions from posts"""
+
+
+def _stored_posts(spark, out):
+    return ingest.read_table(spark, out, "status").select(
+        "id",
+        "status_user_id",
+        "created_at",
+        "lang",
+        F.size("mentions").alias("n_mentions"),
+    )
+
+
 @fx.once
 def _ingested(spark, sf) -> str:
     """All lines of the stream, taken in by the streaming job."""
@@ -904,7 +919,10 @@ def _ingested(spark, sf) -> str:
     "stream_report",
     """select 'status' as kind, count(*) as anz from events
        union all select 'delete', count(*) from labels where toxic = 1
-       union all select 'corrupt', count(*) from conversations""",
+       union all select 'corrupt', count(*) from conversations
+       union all select 'limit', count(*) from supplier
+       union all select 'scrub_geo', count(*) from region
+       union all select 'warning', count(*) from nation""",
 )
 def _(spark, sf):
     report = ingest.read_table(spark, _ingested(spark, sf), "_report")
@@ -913,17 +931,129 @@ def _(spark, sf):
 
 @query(
     "stream_ingest",
-    """select id, status_user_id, date_trunc('second', created_at) as created_at,
-              lang, cast(n_mentions as bigint) as n_mentions from posts""",
+    KEPT,
+)
+def _(spark, sf):
+    return _stored_posts(spark, _ingested(spark, sf))
+
+
+@query(
+    "ingest_replay",
+    """select a.id, p.id as status_id, false as seen_before, true as same_key
+       from accounts a join posts p on p.status_user_id = a.id""",
 )
 def _(spark, sf):
-    return ingest.read_table(spark, _ingested(spark, sf), "status").select(
+    """A batch that broke off between two tables, then its repetition: whether a
+    snapshot was visible before, and has the key that the first attempt gave it."""
+    out = run_dir(spark, "replay")
+    arrived = ingest.arrive(fx.tweets(spark, sf), 0, out)
+    first = ingest.batch_tables(arrived, session_id=1)["users"]
+    ingest.write_batch(first, f"{out}/users", 0, "id")
+    early = ingest.read_table(spark, out, "users").select("id", "status_id", F.lit(True).alias("early"))
+    key = ["id", "status_id", "recorded_at"]
+    kept = materialise(spark.read.parquet(f"{out}/users").select(*key, F.lit(True).alias("kept")), f"{out}/first")
+    early = materialise(early, f"{out}/early")
+    ingest.store_batch(fx.tweets(spark, sf), 0, out, session_id=1)
+    users = ingest.read_table(spark, out, "users").select(key)
+    found = users.join(kept, key, "left").join(early, ["id", "status_id"], "left")
+    return found.select(
         "id",
-        "status_user_id",
-        "created_at",
-        "lang",
-        F.size("mentions").alias("n_mentions"),
+        "status_id",
+        F.coalesce("early", F.lit(False)).alias("seen_before"),
+        F.coalesce("kept", F.lit(False)).alias("same_key"),
+    )
+
+
+@query(
+    "ingest_resume",
+    f"""select k.*, cast(1 as bigint) as n_sessions, 'the,des' as track_topics
+        from ({KEPT}) k""",
+)
+def _(spark, sf):
+    """A collection that stops after part of its files and is resumed by its session:
+    each post once, one session row."""
+    base = run_dir(spark, "resume")
+    number = F.xxhash64("value") % 2
+    session_id = None
+    for half in (number == 0, number != 0):
+        session_id = open_session(
+            spark, f"{base}/sessions", session_id=session_id, track=["the", "des"]
+        )
+        fx.messages(spark, sf).where(half).write.mode("append").text(f"{base}/in")
+        ingest.ingest_stream(
+            spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", session_id=session_id
+        ).awaitTermination()
+    sessions = spark.read.schema(SESSION).parquet(f"{base}/sessions")
+    known = sessions.agg(
+        F.count(F.lit(1)).alias("n_sessions"), F.max("track_topics").alias("track_topics")
+    )
+    posts = _stored_posts(spark, f"{base}/out")
+    return posts.crossJoin(F.broadcast(known))
+
+
+@query(
+    "ingest_compacted",
+    f"""select k.*, true as before, true as while_packing, true as fewer_files
+        from ({KEPT}) k""",
+)
+def _(spark, sf):
+    """Batches packed into a generation: each post as before and in a reader that began
+    before, in fewer files."""
+    base = run_dir(spark, "packed")
+    out = f"{base}/out"
+    fx.messages(spark, sf).repartition(3).write.text(f"{base}/in")
+    ingest.ingest_stream(
+        spark, f"{base}/in", out, f"{base}/checkpoint", session_id=1, maxFilesPerTrigger="1"
+    ).awaitTermination()
+    begun = ingest.read_table(spark, out, "status")
+    before = materialise(begun.select("id", F.lit(True).alias("before")), f"{base}/before")
+    files = len(begun.inputFiles())
+    ingest.compact_tables(spark, out)
+    packed = ingest.read_table(spark, out, "status").inputFiles()
+    fewer = F.lit(len([f for f in packed if "_generations" in f]) < files)
+    meanwhile = begun.select("id", F.lit(True).alias("while_packing"))
+    found = _stored_posts(spark, out).join(before, "id", "left").join(meanwhile, "id", "left")
+    return found.withColumn("fewer_files", fewer)
+
+
+@query(
+    "stream_facts",
+    rounded(
+        "live_single_score where userid in (select status_user_id from posts)",
+        "totalscore",
+        "userid",
+    ),
+)
+def _(spark, sf):
+    """Scores after three micro-batches, each from its own posts and stored facts."""
+    base = run_dir(spark, "facts")
+    fx.posts(spark, sf).drop("status_text").repartition(3).write.parquet(f"{base}/posts")
+    people = fx.users(spark, sf)
+    recorded = ["id", "recorded_at", "session_id"]
+
+    def snapshots(batch, batch_id):
+        """Those of the batch's posts, and once those of all customers."""
+        wanted = batch.select(
+            F.col("status_user_id").alias("id"), "recorded_at", "session_id"
+        ).distinct()
+        known = people.where(F.col("recorded_at") == F.lit(fx.AS_OF))
+        found = people.join(wanted, recorded, "left_semi")
+        return found.unionByName(known) if batch_id == 0 else found
+
+    arriving = (
+        spark.readStream.schema(spark.read.parquet(f"{base}/posts").schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{base}/posts")
     )
+    rolling.rolling_scores(
+        arriving,
+        snapshots,
+        fx.source_q(spark),
+        f"{base}/out",
+        f"{base}/checkpoint",
+        as_of=lambda: fx.AS_OF,
+    ).awaitTermination()
+    return rescore.latest_scores(spark, f"{base}/out")
 
 
 @query(

@@ -209,7 +209,12 @@ def score(
     one aggregation per account, which the universe then joins in place.
     """
     names = [*profile.weights, *profile.knockouts]
-    facts = kpi_rows(inputs, profile, names).groupBy("userid").agg(*_facts(profile))
+    return score_rows(kpi_rows(inputs, profile, names), universe, profile)
+
+
+def score_rows(rows: DataFrame, universe: DataFrame, profile: Profile) -> DataFrame:
+    """(userid, totalscore) out of the indicators in long form."""
+    facts = rows.groupBy("userid").agg(*_facts(profile))
     scores = [_total(profile)]
     for name in profile.knockouts:
         flag = F.col(f"flag_{name}")

@@ -38,10 +38,14 @@ def tweets_from_values(messages: DataFrame, column: str = "value") -> DataFrame:
     return messages.select(parsed.alias("tweet")).select("tweet.*")
 
 
+CONTROLS = ("delete", "limit", "scrub_geo", "warning")
+KINDS = ("status", *CONTROLS, "corrupt")
+
+
 def message_kind(tweets: DataFrame) -> Column:
     """What a line is: a status, a control message or unreadable."""
     kind = F.when(F.col(CORRUPT).isNotNull(), "corrupt")
-    for control in ("delete", "limit", "scrub_geo", "warning"):
+    for control in CONTROLS:
         kind = kind.when(tweets[control].isNotNull(), control)
     return kind.when(F.col("id").isNotNull(), "status").otherwise("corrupt")
 

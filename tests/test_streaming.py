@@ -10,7 +10,7 @@ from test_sources import TWEET
 
 from flockscore.plans import score as sc
 from flockscore.plans.registry import PERUSER, Inputs
-from flockscore.streaming import ingest, rescore
+from flockscore.streaming import commits, ingest, rescore
 
 AS_OF = datetime(2024, 1, 31)
 
@@ -74,6 +74,52 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     assert ingest.read_table(spark, str(tmp_path / "out"), "status").count() == 2
 
 
+def _break_off(spark, lines, batch_id, out, tables):
+    """A batch that ends after it has written the first ``tables`` tables."""
+    batch = ingest.arrive(lines, batch_id, out)
+    for name, table in list(ingest.batch_tables(batch, session_id=3).items())[:tables]:
+        ingest.write_batch(table, f"{out}/{name}", batch_id, ingest.BY_ACCOUNT.get(name))
+
+
+def test_a_batch_is_visible_whole_or_not_at_all(spark, tmp_path):
+    write(tmp_path / "in", "1.json", tweet(1, 9, 1), tweet(2, 8, 1), "{broken")
+    lines, out = ingest.read_tweets(spark, str(tmp_path / "in")), str(tmp_path / "out")
+    _break_off(spark, lines, 0, out, 3)
+    assert ingest.read_table(spark, out, "status").count() == 0
+    first = spark.read.parquet(f"{out}/users").select("id", "recorded_at", "status_id").collect()
+    ingest.store_batch(lines, 0, out, session_id=3)
+    users = ingest.read_table(spark, out, "users").select("id", "recorded_at", "status_id").collect()
+    assert sorted(first) == sorted(users) and len(users) == 2
+    # committed: another attempt leaves it alone
+    ingest.store_batch(lines.limit(0), 0, out, session_id=3)
+    assert ingest.read_table(spark, out, "status").count() == 2
+    report = ingest.read_table(spark, out, "_report")
+    assert {(r.kind, r.anz) for r in report.collect()} == {("status", 2), ("corrupt", 1)}
+
+
+def test_compaction_keeps_rows_and_readers(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for n in range(4):
+        write(tmp_path / f"in{n}", "1.json", *[tweet(10 * n + i, 5 + i % 4, i) for i in range(6)])
+        lines = ingest.read_tweets(spark, str(tmp_path / f"in{n}"))
+        ingest.store_batch(lines, n, out, session_id=3)
+    begun = ingest.read_table(spark, out, "status")
+    rows = sorted(map(str, begun.select(sorted(begun.columns)).collect()))
+    many = len(begun.inputFiles())
+    _break_off(spark, lines, 4, out, 3)
+    ingest.compact_tables(spark, out)
+    after = ingest.read_table(spark, out, "status")
+    assert sorted(map(str, after.select(sorted(begun.columns)).collect())) == rows
+    assert sorted(map(str, begun.select(sorted(begun.columns)).collect())) == rows
+    assert len([f for f in after.inputFiles() if "_generations" in f]) <= 4 < many
+    commits.vacuum(spark, out, ingest.STORED)
+    ingest.store_batch(lines, 4, out, session_id=3)
+    ingest.compact_tables(spark, out)
+    commits.vacuum(spark, out, ingest.STORED)
+    assert ingest.read_table(spark, out, "status").count() == 30
+    assert len(commits.folders(spark, f"{out}/_generations")) == 1
+
+
 def test_admission_on_the_way_in(spark, tmp_path):
     write(
         tmp_path / "in", "1.json", tweet(1, 9, 1), tweet(2, 8, 1, text="other words")
