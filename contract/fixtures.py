@@ -77,12 +77,15 @@ def _with_row_of(
 
 
 @once
-def posts(spark: SparkSession, sf: str) -> DataFrame:
-    """The live stream."""
+def posts(spark: SparkSession, sf: str, *, spread: bool = False) -> DataFrame:
+    """The live stream. ``spread`` deals the narrow events over tasks before they meet
+    their texts, for work on the texts: one file of events is one task otherwise."""
     documents = table(spark, sf, "documents").select(
         "doc_id", "text", "lang", F.col("source").alias("doc_source")
     )
     events = table(spark, sf, "events")
+    if spread:
+        events = events.repartition("event_id")
     e = _with_row_of(events, documents, "doc_id", "event_id")
     number = F.col("event_id")
     tags = F.array(

@@ -21,6 +21,8 @@ def local_session(cores: int | str = "*", app: str = "flockscore") -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        # rows of a few bytes that lead to long texts: 1 MB of them is too much a task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()
     )
 

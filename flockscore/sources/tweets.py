@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,37 +58,49 @@ def split_list(value: str | None) -> list[str]:
     return [part.strip() for part in value.split(",")]
 
 
-def _has_term(text: Column, tokens: Column, terms: Sequence[str]) -> Column:
-    """Whether any of the terms occurs.
+def _is_token(term: str) -> bool:
+    return re.fullmatch(r"[#@]?\w+", term) is not None
 
-    Terms that are a token are looked up among the tokens of the text, which are
-    cut once; any other term needs a search of its own.
-    """
-    plain = [t for t in terms if re.fullmatch(r"\w+", t)]
-    marked = [t for t in terms if re.fullmatch(r"[#@]\w+", t)]
-    forms = [mark + t for t in plain for mark in ("", "#", "@")] + marked
-    found = F.lit(False)
-    if forms:
-        found = F.arrays_overlap(tokens, F.array(*map(F.lit, dict.fromkeys(forms))))
-    other = [t for t in terms if not re.fullmatch(r"[#@]?\w+", t)]
-    return found | text.rlike(whole_words(other)) if other else found
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def tracks(text: Column, phrases: Sequence[str]) -> Column:
     """Whether all terms of any phrase occur in the text, in any order.
 
-    Case does not matter. A plain term also matches as hashtag or mention; a
-    term with ``#`` or ``@`` only matches as such.
+    Case does not matter. A plain term also matches as hashtag or mention; a term with
+    ``#`` or ``@`` only matches as such. The text is cut into tokens once, and phrases
+    are only looked at with those tokens that are a term of any. A term that is no
+    token needs a search of its own.
     """
     text = F.lower(text)
-    tokens = tokens_of(text)
-    terms = [phrase.lower().split() for phrase in phrases]
-    single = [words[0] for words in terms if len(words) == 1]
-    found = _has_term(text, tokens, single) if single else F.lit(False)
-    for words in terms:
-        if len(words) > 1:
-            every = [_has_term(text, tokens, [word]) for word in words]
-            found = found | reduce(Column.__and__, every)
+    wanted = [sorted(set(phrase.lower().split())) for phrase in phrases if phrase.strip()]
+    terms = {t for words in wanted for t in words if _is_token(t)}
+    forms = sorted(terms | {mark + t for t in terms if t[0] not in "#@" for mark in "#@"})
+
+    def listed(values: list, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(values)), kind)
+
+    def judged(seen: Column) -> Column:
+        plain = [words for words in wanted if all(map(_is_token, words))]
+        found = F.exists(
+            listed(plain, "array<array<string>>"),
+            lambda words: F.forall(words, lambda w: F.array_contains(seen, w)),
+        )
+        for words in wanted:
+            if words not in plain:
+                known = [F.array_contains(seen, F.lit(w)) for w in words if _is_token(w)]
+                searched = [text.rlike(whole_words([w])) for w in words if not _is_token(w)]
+                found = found | reduce(Column.__and__, known + searched)
+        return found
+
+    def with_plain(seen: Column) -> Column:
+        return F.concat(seen, F.transform(seen, lambda t: F.ltrim(t, F.lit("#@"))))
+
+    hits = F.array_intersect(tokens_of(text), listed(forms, "array<string>"))
+    found = _once(hits, lambda seen: _once(with_plain(seen), judged))
     return F.coalesce(found, F.lit(False))
 
 
@@ -100,11 +113,18 @@ def admit(
     author: str = "user.id",
     text: str = "text",
 ) -> DataFrame:
-    """Tweets by followed accounts or with a tracked phrase, in a language."""
+    """Tweets by followed accounts or with a tracked phrase, in a language.
+
+    The accounts are a table as long as the given list, which goes to all tasks.
+    """
     if not follow and not track:
         raise ValueError("give accounts to follow or phrases to track")
-    followed = F.col(author).isin([int(f) for f in follow])
-    wanted = followed | tracks(F.col(text), track) if track else followed
+    rows = [(int(f),) for f in dict.fromkeys(follow)]
+    accounts = tweets.sparkSession.createDataFrame(rows, "_followed bigint")
+    marked = tweets.join(F.broadcast(accounts), F.col(author) == F.col("_followed"), "left")
+    wanted = F.col("_followed").isNotNull()
+    if track:
+        wanted = wanted | tracks(F.col(text), track)
     if language:
-        wanted = wanted & (F.col("lang") == language)
-    return tweets.where(F.coalesce(wanted, F.lit(False)))
+        wanted = (F.col("lang") == language) & wanted
+    return marked.where(F.coalesce(wanted, F.lit(False))).select(*[F.col(f"`{c}`") for c in tweets.columns])

@@ -17,6 +17,7 @@ TABLES = (
 ).split()
 TYPES = {
     "bigint": "BIGINT",
+    "int": "INTEGER",
     "double": "DOUBLE",
     "string": "VARCHAR",
     "timestamp": "TIMESTAMP",

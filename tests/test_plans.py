@@ -12,6 +12,7 @@ from flockscore import operators as op
 from flockscore.plans import facts, texts
 from flockscore.plans import score as sc
 from flockscore.plans.registry import BATCH, PERUSER, STAGE2, Inputs
+from flockscore.sources.tweets import admit
 
 SF = "/root/testdata/sf0.001"
 AS_OF = datetime(2024, 1, 31)
@@ -118,6 +119,16 @@ def test_filter_on_one_account_reaches_the_scan(spark, tmp_path):
     assert "EqualTo(status_user_id,7)" in plan(one)
 
 
+def test_admission_cuts_texts_into_tokens_once(live):
+    phrases = [f"word{n} other{n % 7}" for n in range(500)] + ["the", "der die"]
+    admitted = admit(
+        live.status, follow=range(6000), track=phrases, author="status_user_id", text="status_text"
+    )
+    text = plan(admitted.select("id"))
+    assert text.count("regexp_extract_all") == 1 and "BroadcastHashJoin" in text
+    assert "5999" not in text
+
+
 def test_top_words_are_cut_before_the_shuffle(spark, live):
     bots = spark.createDataFrame([(1,)], "userid bigint")
     posts = texts.topic_posts(live.status, fx.session(spark), bots)

@@ -125,6 +125,13 @@ def test_text_in_parts(spark, bots):
     ]
 
 
+def test_posts_without_time_or_id_keep_their_text(spark, bots):
+    posts = status(spark, {"id": 3, "text": "c"}, {"id": 64, "text": "b"}, {"id": 65, "text": "a"})
+    posts = posts.withColumn("created_at", F.when(F.col("id") != 65, F.col("created_at")))
+    posts = posts.withColumn("id", F.when(F.col("id") != 64, F.col("id")))
+    assert rows(texts.topic_text(posts, session(spark, "#a"), bots)) == [("#a", True, 0, "a b c")]
+
+
 @pytest.mark.parametrize("part", [1, 5, 40, 333, 100_000])
 def test_parts_hold_all_text_in_order(spark, bots, part):
     words = [f"w{n % 17}" * (n % 5 + 1) for n in range(300)]

@@ -5,12 +5,12 @@ import json
 import re
 from datetime import datetime
 
-from frames import challenge, source_q
+from frames import at, challenge, scores, snapshots, source_q, status
 from test_sources import TWEET
 
 from flockscore.plans import score as sc
 from flockscore.plans.registry import PERUSER, Inputs
-from flockscore.streaming import commits, ingest, rescore
+from flockscore.streaming import commits, ingest, rescore, rolling
 
 AS_OF = datetime(2024, 1, 31)
 
@@ -200,3 +200,50 @@ def test_positions_follow_the_stream(spark, tmp_path):
     query.awaitTermination()
     got = spark.table("positions").collect()
     assert sorted(map(tuple, got)) == [(5, 7), (6, 3)]
+
+
+ROLLING = [
+    [
+        {"id": 1, "u": 1, "t": 0, "source": "app", "lang": "und"},
+        {"id": 2, "u": 2, "t": 0, "source": "web", "mentions": 2},
+        {"id": 9, "u": 2, "t": 5000, "reply": 8, "lang": "fr"},  # answers a later one
+        {"id": 3, "u": 3, "t": 50, "retweet": 1, "lang": "en"},
+    ],
+    [
+        {"id": 4, "u": 1, "t": 7203, "reply": 1, "source": "app"},
+        {"id": 3, "u": 3, "t": 50, "recorded_at": at(60), "lang": "en", "retweet": 1},  # sent again
+        *[{"id": 100 + i, "u": 4, "t": 600 * i} for i in range(30)],
+    ],
+    [
+        {"id": 8, "u": 2, "t": 4998},
+        {"id": 5, "u": 1, "t": 7200},
+        *[{"id": 200 + i, "u": 4, "t": 600 * i + 300} for i in range(30)],
+        {"id": 6, "u": 5, "t": 1, "source": "app"},
+    ],
+]
+
+
+def test_rolling_scores_equal_one_batch(spark, tmp_path):
+    """Replies before and after their posts, a copy in a later batch, a day that
+    several batches fill, an hour that they share; a batch that is repeated."""
+    known, out = source_q(spark, app=(0.8, 1), web=(0.1, 0)), str(tmp_path / "out")
+    latest = {}
+    for n, rows in enumerate(ROLLING):
+        posts = status(spark, *rows)
+        people = snapshots(spark, posts, u2={"followers": 1, "friends": 9}, u3={"offset": 14 * 3600})
+        for _ in range(1 + (n == 1)):
+            touched = rolling.fold_batch(posts, people, n, out, known)
+            new = rolling.score_touched(spark, out, n, touched, AS_OF)
+            found = scores(new, "totalscore")
+        assert set(found) == {r["u"] for r in rows}
+        latest |= found
+        commits.commit(spark, out, n)
+        if n == 1:
+            rolling.compact_facts(spark, out)
+            commits.vacuum(spark, out, rolling.TABLES)
+    every = status(spark, *[r for rows in ROLLING for r in rows])
+    people = snapshots(spark, every, u2={"followers": 1, "friends": 9}, u3={"offset": 14 * 3600})
+    whole = sc.score(Inputs(every, people, AS_OF, known), sc.accounts_of(every), PERUSER)
+    assert latest == scores(whole, "totalscore")
+    # only stored facts, and the table of ids and times, have been read
+    assert new.inputFiles() and all("/_facts/" in f or "/_seen/" in f for f in new.inputFiles())
