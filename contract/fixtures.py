@@ -396,6 +396,28 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
         lambda _: link,
     )
     lon, lat = F.col("user_id") % 180, F.col("user_id") % 90
+    photo = F.struct(
+        F.col("url").alias("media_url"),
+        F.lit("photo").alias("type"),
+        "url",
+        spans.alias("indices"),
+    )
+    attached = F.transform(
+        F.when(number % 6 == 0, F.sequence(F.lit(0), (number / 6 % 2).cast("int"))).otherwise(
+            F.array().cast("array<int>")
+        ),
+        lambda _: photo,
+    )
+    home = F.concat(F.lit("https://home/"), F.col("user_id"))
+    # one account in three has a profile link, another an empty one
+    own_link = F.when(
+        F.col("user_id") % 3 < 2,
+        F.array(F.struct(F.when(F.col("user_id") % 3 == 0, home).otherwise("").alias("url"))),
+    )
+    about = F.when(F.col("user_id") % 5 == 0, F.array(F.struct(home.alias("url")), F.struct(F.lit("https://b").alias("url"))))
+    profile_links = F.struct(
+        F.struct(own_link.alias("urls")).alias("url"), F.struct(about.alias("urls")).alias("description")
+    )
     corner = F.array(lon.cast("double"), lat.cast("double"))
     box = F.struct(
         F.lit("Polygon").alias("type"),
@@ -428,6 +450,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
             ).alias("hashtags"),
             linked.alias("urls"),
             mentioned.alias("user_mentions"),
+            attached.alias("media"),
         ).alias("entities"),
         F.struct(
             "p.id",
@@ -439,6 +462,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
             "p.followers_count",
             "p.friends_count",
             F.col("p.utcoffset").alias("utc_offset"),
+            profile_links.alias("entities"),
         ).alias("user"),
     )
     return e.select(F.to_json(tweet).alias("value"))

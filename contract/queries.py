@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from contract import oracles as sql
 from flockscore import operators as op
 from flockscore.plans import reports, texts
 from flockscore.plans import score as sc
-from flockscore.plans.registry import BATCH, PERUSER
+from flockscore.plans.registry import BATCH, PERUSER, Indicator, register
+from flockscore.plans.sqlfunctions import register_functions
 from flockscore.schemas import CHALLENGE, SESSION
 from flockscore.session import materialise, run_dir
 from flockscore.sources import normalise as norm
@@ -384,6 +386,45 @@ def _(spark, sf):
     return sc.score(sc.of_account(fx.fetched(spark, sf), 7), one, PERUSER)
 
 
+@query(
+    "registered_knockout",
+    """select userid, round(greatest(totalscore, coalesce(ko, 0)), 9) as totalscore
+       from integrated left join (
+           select status_user_id as userid, if(avg(isretweet) > 0.1, 1.0, 0.0) as ko
+           from history group by 1) using (userid)""",
+)
+def _(spark, sf):
+    """A further knock-out that a user registers: more than a tenth retweets."""
+
+    def build(inputs):
+        share = inputs.status.groupBy(F.col("status_user_id").alias("userid")).agg(
+            F.avg("isretweet").alias("share")
+        )
+        flag = F.when(F.col("share") > 0.1, 1.0).otherwise(0.0)
+        return share.select(F.lit("KORETWEETS").alias("kpiname"), "userid", flag.alias("botscore"))
+
+    register("KORETWEETS", Indicator(build))
+    profile = replace(BATCH, knockouts=(*BATCH.knockouts, "KORETWEETS"))
+    return sc.score(fx.fetched(spark, sf), _listed(spark, sf), profile)
+
+
+@query(
+    "sql_functions",
+    """select kpiname, userid, round(botscore, 9) as botscore from h_tweetcount where userid = 7
+       union all
+       select kpiname, userid, round(botscore, 9) from h_langusertweets where userid = 7
+       union all
+       select 'SCORE', userid, round(totalscore, 9) from single_score where userid = 7""",
+)
+def _(spark, sf):
+    register_functions(fx.fetched(spark, sf), _listed(spark, sf))
+    return spark.sql(
+        """select * from kpi_tweetcount(7)
+           union all select * from kpi_langusertweets(7)
+           union all select 'SCORE', userid, totalscore from kpi_score(7)"""
+    )
+
+
 WRITE_BACK = """
     select c.user_id, c.parent_screen_name, c.parent_id,
            round(if(s.userid is null, c.botscore, s.totalscore), 9) as botscore,
@@ -766,11 +807,80 @@ def _(spark, sf):
        where p.status_source in ('click', 'view')""",
 )
 def _(spark, sf):
-    return norm.urls(_prepared(spark, sf)).select(
+    return norm.urls(_prepared(spark, sf)).where("kind = 'url'").select(
         "status_id", "pos", "url", "expanded_url", "indices_start", "indices_end"
     )
 
 
+MEDIA = """select p.id as status_id, cast(m.pos as bigint) as pos, g.url
+       from posts p, (select count(*) as size from pages) n, (values (0), (1)) m(pos)
+       join pages g on g.page_id = p.id % n.size
+       where p.id % 6 = 0 and m.pos <= p.id // 6 % 2"""
+PROFILE_LINKS = """select p.id as status_id, 'user_url' as kind, cast(0 as bigint) as pos,
+              'https://home/' || p.status_user_id as url
+       from posts p join accounts a on a.id = p.status_user_id
+       where p.status_user_id % 3 = 0
+       union all
+       select p.id, 'description_url', cast(m.pos as bigint),
+              if(m.pos = 0, 'https://home/' || p.status_user_id, 'https://b')
+       from posts p join accounts a on a.id = p.status_user_id, (values (0), (1)) m(pos)
+       where p.status_user_id % 5 = 0"""
+
+
+@query("normalise_media", f"select *, url as media_url, 'photo' as media_type from ({MEDIA})")
+def _(spark, sf):
+    return norm.media(_prepared(spark, sf)).select(
+        "status_id", "pos", "url", "media_url", "media_type"
+    )
+
+
+@query("normalise_profile_links", PROFILE_LINKS)
+def _(spark, sf):
+    links = norm.urls(_prepared(spark, sf)).where("kind <> 'url'")
+    return links.select("status_id", "kind", "pos", "url")
+
+
+@query(
+    "normalise_keys",
+    f"""select 'media' as kind, status_id, pos, true as one_key from ({MEDIA})
+        union all
+        select 'mention', id, cast(0 as bigint), true from posts where n_mentions = 1
+        union all
+        select 'hashtag', id, cast(0 as bigint), true from posts
+        union all
+        select 'hashtag', id, cast(1 as bigint), true from posts where second_tag is not null
+        union all
+        select kind, status_id, pos, true from ({PROFILE_LINKS}) where kind = 'user_url'""",
+)
+def _(spark, sf):
+    """Children found from their status, or its snapshot, by surrogate key alone, and
+    whether each has a key of its own."""
+    tweets = _prepared(spark, sf)
+    owners = {
+        "media": (norm.media(tweets), norm.statuses(tweets), "mediaentities_id", "id"),
+        "mention": (norm.mentions(tweets), norm.statuses(tweets), "usermentionentities_id", "id"),
+        "hashtag": (norm.hashtags(tweets), norm.statuses(tweets), "hashtagentities_id", "id"),
+        "user_url": (
+            norm.urls(tweets).where("kind = 'user_url'"),
+            norm.user_snapshots(tweets),
+            "urlentity_id",
+            "status_id",
+        ),
+    }
+    found = None
+    for kind, (children, parents, key, of) in owners.items():
+        own = parents.where(F.col(key).isNotNull()).select(
+            F.col(key).alias("entity_id"), F.col(of).alias("status_id")
+        )
+        joined = children.select("entity_id", "id", "pos").join(own, "entity_id")
+        once = joined.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        rows = joined.join(once, "id").select(
+            F.lit(kind).alias("kind"), "status_id", "pos", (F.col("n") == 1).alias("one_key")
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query(
     "normalise_hashtags",
     """select id as status_id, cast(0 as bigint) as pos, status_source as httext
