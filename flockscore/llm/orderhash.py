@@ -55,6 +55,7 @@ SIMILARITY = 0.8
 SKETCHES = 12
 PICKED = 3
 PART = 256
+CELL = 2048
 BINS = 128
 LEVEL = 1.01 * math.log(1 / SIMILARITY)  # of the logarithm of lengths: more than linked texts differ
 BATCH_ROWS = 1000  # texts or pairs sent to Python at a time
@@ -148,12 +149,15 @@ def _rows(found: list[tuple], fields: list[pa.Field]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
 
 
-@F.arrow_udf(T.StructType([*_KEY.fields, T.StructField("keys", T.ArrayType(T.LongType()))]))
+_SKETCH = [T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+
+
+@F.arrow_udf(T.StructType([*_KEY.fields, *_SKETCH]))
 def sketches(texts: pa.Array) -> pa.Array:
-    """The content key and the sketch's keys."""
+    """The content key, the number of k-mers and the sketch's keys, each once."""
     none = np.zeros(0, np.int64)
-    found = [(a, b, sketch(k).view(np.int64) if len(k) else none) for a, b, k in _documents(texts)]
-    return _rows(found, [*_KEY_FIELDS, pa.field("keys", pa.list_(pa.int64()))])
+    found = [(a, b, len(k), np.unique(sketch(k).view(np.int64)) if len(k) else none) for a, b, k in _documents(texts)]
+    return _rows(found, [*_KEY_FIELDS, pa.field("size", pa.int64()), pa.field("keys", pa.list_(pa.int64()))])
 
 
 @F.arrow_udf(T.StructType([*_KEY.fields, T.StructField("seq", T.BinaryType())]))
@@ -313,39 +317,36 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return own.join(other, "hub").where(aligned("seq", "hub_seq")).select("c", "hub")
 
 
-def _open(buckets: DataFrame, hubs: DataFrame, known: DataFrame, over: int) -> DataFrame:
+def _placed(nodes: DataFrame, member: DataFrame) -> DataFrame:
+    """(c, keys, component, level); texts of which one could be linked to the other
+    have the same or adjoining levels of length."""
+    placed = nodes.select("c", "keys", "size").join(member.withColumnRenamed("node", "c"), "c", "left")
+    level = F.floor(F.log(F.greatest("size", F.lit(1))) / LEVEL)
+    return written(placed.select("c", "keys", F.coalesce("component", "c").alias("component"), level.alias("level")), "near-placed")
+
+
+def _open(placed: DataFrame, over: int) -> DataFrame:
     """(key, size) of the buckets of more than ``over`` members that still hold
     several components."""
     open_ = (
-        buckets.join(hubs.where(F.col("n") > over).select("key"), "key")
-        .join(known, "c")
+        placed.select(F.explode("keys").alias("key"), "component")
         .groupBy("key")
-        .agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        .where("_lo != _hi")
-        .join(hubs.select("key", F.col("n").alias("size")), "key")
+        .agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("size"))
+        .where((F.col("_lo") != F.col("_hi")) & (F.col("size") > over))
         .select("key", "size")
     )
     return written(open_, "near-open")  # a plain table, as the hubs
 
 
-def _known(member: DataFrame, texts: DataFrame) -> DataFrame:
-    """(c, component, level); texts of which one could be linked to the other have
-    the same or adjoining levels of length."""
-    level = F.floor(F.log(F.octet_length("seq") / 4) / LEVEL)
-    known = texts.select("c", level.alias("level")).join(member.withColumnRenamed("node", "c"), "c", "left")
-    return written(known.withColumn("component", F.coalesce("component", "c")), "near-known")
-
-
-def _strays(buckets: DataFrame, hubs: DataFrame, member: DataFrame, texts: DataFrame) -> DataFrame:
+def _strays(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """The links (c, hub) that the buckets of more than two members still leave
     open, between different components; larger ones than ``PART`` only in parts."""
-    known = _known(member, texts).select("c", "component")
-    open_ = _open(buckets, hubs, known, 2)
+    open_ = _open(placed, 2)
     part = F.pmod(F.xxhash64("c", "key"), F.ceil(F.col("size") / PART))
-    dealt = buckets.join(open_, "key").groupBy("c").agg(F.collect_set(F.xxhash64("key", part)).alias("places"))
+    dealt = placed.select("c", "component", F.explode("keys").alias("key")).join(open_, "key")
+    dealt = dealt.groupBy("c", "component").agg(F.collect_set(F.xxhash64("key", part)).alias("places"))
     return (
-        dealt.join(known, "c")  # at most one place for each key of a sketch
-        .join(texts, "c")
+        dealt.join(texts, "c")  # at most one place for each key of a sketch
         .select(F.explode("places").alias("place"), "c", "component", "places", "seq")
         .repartition("place")
         .sortWithinPartitions("place", "c")
@@ -353,25 +354,25 @@ def _strays(buckets: DataFrame, hubs: DataFrame, member: DataFrame, texts: DataF
     )
 
 
-def _across(buckets: DataFrame, hubs: DataFrame, member: DataFrame, texts: DataFrame) -> DataFrame | None:
+def _across(placed: DataFrame, texts: DataFrame) -> DataFrame | None:
     """The links (c, hub) that the buckets of more than ``PART`` members still leave
     open, between any two of their cells; None if there is no such bucket.
 
-    A component of more than ``PART`` members of a bucket and level has cells of its
-    own, which are not compared with each other.
+    A component of more than ``CELL`` members of a bucket and level has cells of its
+    own, which are not compared with each other. A sequence is sent once for each cell
+    that its own is compared with, so the cells are larger than the parts.
     """
-    known = _known(member, texts)
-    open_ = _open(buckets, hubs, known, PART).select(F.col("key").alias("place"))
+    open_ = _open(placed, PART).select(F.col("key").alias("place"))
     if open_.isEmpty():
         return None
-    members = buckets.withColumnRenamed("key", "place").join(open_, "place").join(known, "c")
+    members = placed.select("c", "component", "level", F.explode("keys").alias("place")).join(open_, "place")
     members = written(members.select("place", "level", "component", "c"), "near-open")
     groups = written(members.groupBy("place", "level", "component").count(), "near-groups")
-    large = groups.where(F.col("count") > PART).withColumnRenamed("count", "_large")
-    small = groups.where(F.col("count") <= PART).groupBy("place", "level").agg(F.sum("count").alias("_small"))
-    large, small = written(large, "near-groups"), written(small.where(F.col("_small") > PART), "near-groups")
-    own = F.xxhash64("component", F.pmod(F.xxhash64("c", "place"), F.ceil(F.col("_large") / PART)))
-    shared = F.pmod(F.xxhash64("component", "place"), F.ceil(F.coalesce("_small", F.lit(1)) / PART))
+    large = groups.where(F.col("count") > CELL).withColumnRenamed("count", "_large")
+    small = groups.where(F.col("count") <= CELL).groupBy("place", "level").agg(F.sum("count").alias("_small"))
+    large, small = written(large, "near-groups"), written(small.where(F.col("_small") > CELL), "near-groups")
+    own = F.xxhash64("component", F.pmod(F.xxhash64("c", "place"), F.ceil(F.col("_large") / CELL)))
+    shared = F.pmod(F.xxhash64("component", "place"), F.ceil(F.coalesce("_small", F.lit(1)) / CELL))
     members = (
         members.join(large, ["place", "level", "component"], "left")
         .join(small, ["place", "level"], "left")
@@ -415,18 +416,32 @@ def duplicate_classes(documents: DataFrame) -> DataFrame:
         return _duplicate_classes(documents)
 
 
+def _joined(member: DataFrame, links: DataFrame) -> DataFrame:
+    """``member`` (node, component) after more links (c, hub); only components that a
+    link joins are looked at again."""
+    of = {s: member.select(F.col("node").alias(s), F.col("component").alias(f"_{s}")) for s in ("c", "hub")}
+    edges = links.join(of["c"], "c", "left").join(of["hub"], "hub", "left")
+    edges = edges.select(F.coalesce("_c", "c").alias("a"), F.coalesce("_hub", "hub").alias("b"))
+    edges = written(edges.where("a != b").distinct(), "near-joined")
+    if edges.isEmpty():
+        return member
+    moved = written(components(edges), "near-moved").toDF("component", "_to")
+    new = moved.select(F.col("component").alias("node"), "component").join(member, "node", "left_anti")
+    after = member.union(new).join(moved, "component", "left")
+    return written(after.select("node", F.coalesce("_to", "component").alias("component")), "near-members")
+
+
 def _duplicate_classes(documents: DataFrame) -> DataFrame:
     keyed = documents.where(F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc"), sketches("text").alias("k")
     )
-    keyed = written(keyed.select("doc", "k.a", "k.b", "k.keys"), "near-keys")
-    nodes = keyed.groupBy("a", "b").agg(F.min("doc").alias("first"))
-    nodes = written(nodes.withColumn("c", F.monotonically_increasing_id()), "near-nodes")
-
+    keyed = written(keyed.select("doc", "k.a", "k.b", "k.keys", "k.size"), "near-keys")
     # keys hold their order's number; equal texts fall together before anything else
-    buckets = keyed.select("a", "b", F.explode("keys").alias("key")).distinct()
-    buckets = buckets.join(nodes.select("a", "b", "c"), ["a", "b"]).select("key", "c")
-    buckets = written(buckets, "near-buckets")
+    nodes = keyed.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max(F.struct("size", "keys")).alias("_k"))
+    nodes = nodes.select("a", "b", "first", "_k.size", "_k.keys", F.monotonically_increasing_id().alias("c"))
+    nodes = written(nodes, "near-nodes")
+
+    buckets = nodes.select(F.explode("keys").alias("key"), "c")
     hubs = buckets.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hubs = written(hubs, "near-hubs")  # a plain table, so that a hot bucket is split
     pairs = buckets.join(hubs, "key").where("c != hub").groupBy("c", "hub").count()
@@ -448,8 +463,7 @@ def _duplicate_classes(documents: DataFrame) -> DataFrame:
     best = pairs.groupBy("c").agg(F.max(F.struct("count", (-F.col("hub")).alias("_hub"))).alias("_b"))
     best = best.select("c", (-F.col("_b._hub")).alias("hub"))
     first = written(_verified(best, texts), "near-links")
-    member = components(first.select(F.col("c").alias("a"), F.col("hub").alias("b")))
-    member = written(member, "near-members")
+    member = written(components(first.select(F.col("c").alias("a"), F.col("hub").alias("b"))), "near-members")
     rest = pairs.join(best, ["c", "hub"], "left_anti")
     of_c, of_hub = (
         member.select(F.col("node").alias(f"_{s}"), F.col("component").alias(f"_in_{s}")) for s in ("c", "hub")
@@ -460,22 +474,13 @@ def _duplicate_classes(documents: DataFrame) -> DataFrame:
         .where(F.coalesce("_in_c", "c") != F.coalesce("_in_hub", "hub"))
         .select("c", "hub")
     )
-    second = written(_verified(rest, texts), "near-links")
-    links = first.union(second)
-    member = components(links.select(F.col("c").alias("a"), F.col("hub").alias("b")))
-    member = written(member, "near-members")
-
-    third = written(_strays(buckets, hubs, member, texts), "near-links")
-    links = links.union(third)
-    member = components(links.select(F.col("c").alias("a"), F.col("hub").alias("b")))
-    fourth = _across(buckets, hubs, written(member, "near-members"), texts)
-    if fourth is not None:
-        links = links.union(written(fourth, "near-links"))
-        member = components(links.select(F.col("c").alias("a"), F.col("hub").alias("b")))
-    labelled = nodes.join(member.withColumnRenamed("node", "c"), "c", "left").withColumn(
-        "component", F.coalesce("component", "c")
-    )
-    labelled = written(labelled, "near-labels")
+    member = _joined(member, written(_verified(rest, texts), "near-links"))
+    member = _joined(member, written(_strays(_placed(nodes, member), texts), "near-links"))
+    last = _across(_placed(nodes, member), texts)
+    if last is not None:
+        member = _joined(member, written(last, "near-links"))
+    labelled = nodes.select("a", "b", "c", "first").join(member.withColumnRenamed("node", "c"), "c", "left")
+    labelled = written(labelled.withColumn("component", F.coalesce("component", "c")), "near-labels")
     least = labelled.groupBy("component").agg(F.min("first").alias("class_id"))
     return written(labelled.join(least, "component").select("a", "b", "class_id"), "near-classes")
 
