@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +35,11 @@ def labelled_sample(
     label: str,
     train: Column,
     rows: int,
-) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts, (text, label), smallest id hashes first.
+) -> DataFrame:
+    """At most ``rows`` labelled texts, (text, label, id), smallest id hashes first.
 
     ``train`` says by ``doc_id`` which rows may be learnt from. Equal texts are
-    taken once. ``rows`` bounds what the driver receives and what is broadcast.
+    taken once, as is an id: with its smallest text and its largest label.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & train)
@@ -46,14 +49,26 @@ def labelled_sample(
         .limit(rows)
     )
     texts = (
-        documents.where(train)
+        documents.where(train & F.col("text").isNotNull())
         .select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .where(F.col("text").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
     )
-    found = texts.limit(2 * rows).collect()
-    unique = {r["text"]: (r["doc_id"], r["_label"]) for r in sorted(found, key=lambda r: -r["doc_id"])}
-    return [(text, y) for text, (_, y) in sorted(unique.items(), key=lambda x: x[1][0])]
+    first = texts.groupBy("text").agg(F.min(F.struct("doc_id", "_label")).alias("_f"))
+    return first.select("text", F.col("_f._label").alias("label"), F.col("_f.doc_id").alias("id"))
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], Any]) -> Any:
+    """What ``fit`` makes of the (text, label) rows of a bounded sample. It runs in a
+    task, so the driver receives the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["id"], r["text"], r["label"]) for batch in batches for r in batch.to_pylist())
+        model = pickle.dumps(fit([(text, y) for _, text, y in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Words, other_bytes, slices
-from .tables import fold, labelled_sample, without
+from .tables import fold, fitted, labelled_sample, without
 
 FOLDS = 5
 SAMPLE_ROWS = 4000  # labelled rows that the model is fitted on, at most
@@ -324,7 +324,7 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column | None = None)
     """A model from rows that ``train`` allows (by default those outside fold 0),
     at most ``SAMPLE_ROWS`` of them."""
     train = fold(F.col("doc_id"), FOLDS) != 0 if train is None else train
-    return fit(labelled_sample(documents, labels, "toxic", train, SAMPLE_ROWS))
+    return fitted(labelled_sample(documents, labels, "toxic", train, SAMPLE_ROWS), fit)
 
 
 def score_toxicity(documents: DataFrame, model: dict[str, Any]) -> DataFrame:
