@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from contract import fixtures as fx
 from contract import oracles as sql
 from flockscore import operators as op
-from flockscore.plans import reports, texts
+from flockscore.plans import reports, rollups, texts
 from flockscore.plans import score as sc
 from flockscore.plans.registry import BATCH, PERUSER, Indicator, register
 from flockscore.plans.sqlfunctions import register_functions
 from flockscore.schemas import CHALLENGE, SESSION
 from flockscore.session import materialise, run_dir
 from flockscore.sources import normalise as norm
-from flockscore.sources import tables
+from flockscore.sources import tables, versioned
+from flockscore.sources.bucketed import store_pair
 from flockscore.sources.sessions import open_session
 from flockscore.sources.tweets import admit
 from flockscore.streaming import ingest, rescore, rolling
@@ -194,6 +195,21 @@ def _(spark, sf):
     return op.kpi_reactiontime(*fx.both(spark, sf).datasets)
 
 
+@fx.once
+def _bucketed(spark, sf):
+    return store_pair(fx.history(spark, sf).drop("status_text"), fx.history_users(spark, sf), run_dir(spark, "bucketed"))
+
+
+@query("kpi_langusertweets_bucketed", kpi("h_langusertweets"))
+def _(spark, sf):
+    return op.kpi_langusertweets(*_bucketed(spark, sf))
+
+
+@query("kpi_statusfrequency_bucketed", kpi("h_statusfrequency", "botscore", f"userid {HOURS}"))
+def _(spark, sf):
+    return op.kpi_statusfrequency(_bucketed(spark, sf))
+
+
 @query("kpi_tweetlangs", kpi("k_tweetlangs", "botscore", "userid anzlang anztweets"))
 def _(spark, sf):
     return op.kpi_tweetlangs(fx.posts(spark, sf))
@@ -442,6 +458,16 @@ def _(spark, sf):
     return sc.write_back(fx.challenge(spark, sf), scores)
 
 
+@query("peruser_write_back_stored", WRITE_BACK)
+def _(spark, sf):
+    """As ``peruser_write_back``, in the stored table."""
+    path = run_dir(spark, "listed")
+    versioned.create_table(fx.challenge(spark, sf), path)
+    inputs = fx.fetched(spark, sf)
+    versioned.write_back_stored(spark, path, sc.score(inputs, sc.accounts_of(inputs.status), PERUSER))
+    return versioned.read_table(spark, path)
+
+
 NEWEST = "select status_user_id as userid, max(id) as newest from {} group by 1"
 POSITIONS = """
     select coalesce(u.userid, n.userid) as userid,
@@ -634,6 +660,37 @@ def _(spark, sf):
     return reports.collection_stats(fx.posts(spark, sf), fx.session(spark))
 
 
+@fx.once
+def _rollup(spark, sf):
+    """The stored table of the three reports below."""
+    posts = fx.posts(spark, sf)
+    numbers = rollups.number_accounts(sc.accounts_of(posts))
+    found = rollups.daily_rollup(posts, fx.session(spark), stage2_bots(spark, sf), numbers)
+    return materialise(found, run_dir(spark, "rollup"))
+
+
+@query("rollup_topics", PER_TOPIC)
+def _(spark, sf):
+    return rollups.topics_of(_rollup(spark, sf))
+
+
+@query(
+    "rollup_days",
+    f"select * replace (cast(tweetdatum as timestamp) as tweetdatum) from ({PER_DAY})",
+)
+def _(spark, sf):
+    return rollups.days_of(_rollup(spark, sf))
+
+
+@query(
+    "rollup_stats",
+    f"""select s.track_topics, {STATS.format("p.recorded_at")}
+        from posts p join session s on s.id = p.session_id group by 1""",
+)
+def _(spark, sf):
+    return rollups.stats_of(_rollup(spark, sf))
+
+
 @query(
     "collection_stats_all",
     f"select 'all' as track_topics, {STATS.format('p.created_at')} from history p",
@@ -1101,6 +1158,30 @@ def _(spark, sf):
     return posts.crossJoin(F.broadcast(known))
 
 
+@query(
+    "ingest_once",
+    f"""select k.*, cast(1 as bigint) as with_option, cast(2 as bigint) as without
+        from ({KEPT}) k""",
+)
+def _(spark, sf):
+    """All posts sent in two batches: how often each is stored with and without the
+    option that remembers ids."""
+    base = run_dir(spark, "once")
+    for _ in range(2):
+        fx.messages(spark, sf).coalesce(1).write.mode("append").text(f"{base}/in")
+    counts = []
+    for name, within in (("with_option", "2 days"), ("without", None)):
+        out = f"{base}/{name}"
+        ingest.ingest_stream(
+            spark, f"{base}/in", out, f"{out}-checkpoint", session_id=1, once_within=within,
+            maxFilesPerTrigger="1",
+        ).awaitTermination()
+        posts = _stored_posts(spark, out)
+        counts.append(posts.groupBy(*posts.columns).agg(F.count(F.lit(1)).alias(name)))
+    key = ["id", "status_user_id", "created_at", "n_mentions"]
+    return counts[0].join(counts[1].drop("lang"), key)
+
+
 @query(
     "ingest_compacted",
     f"""select k.*, true as before, true as while_packing, true as fewer_files

@@ -12,6 +12,8 @@ from flockscore import operators as op
 from flockscore.plans import facts, texts
 from flockscore.plans import score as sc
 from flockscore.plans.registry import BATCH, PERUSER, STAGE2, Inputs
+from flockscore.plans.sqlfunctions import register_functions
+from flockscore.sources.bucketed import store_pair
 from flockscore.sources.tweets import admit
 
 SF = "/root/testdata/sf0.001"
@@ -129,6 +131,31 @@ def test_admission_cuts_texts_into_tokens_once(live):
     assert "5999" not in text
 
 
+def test_bucketed_posts_meet_their_snapshots_without_a_shuffle(spark, tmp_path):
+    posts, people = store_pair(
+        fx.posts(spark, SF).drop("status_text"), fx.users(spark, SF), str(tmp_path), buckets=4
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (op.kpi_langusertweets(posts, people), op.kpi_statusfrequency((posts, people))):
+            text = plan(df)
+            below = text[text.index("SortMergeJoin") :]
+            assert "Exchange" not in below and text.count("SelectedBucketsCount") >= 2
+        joined = op.kpi_langusertweets(posts, people).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    alone = op.kpi_langusertweets(fx.posts(spark, SF), fx.users(spark, SF))
+    assert sorted(map(tuple, joined)) == sorted(map(tuple, alone.collect()))
+
+
+def test_sql_functions_filter_the_scan(spark, tmp_path):
+    fx.posts(spark, SF).drop("status_text").write.parquet(str(tmp_path / "p"))
+    one = Inputs(spark.read.parquet(str(tmp_path / "p")), fx.users(spark, SF), AS_OF, fx.source_q(spark))
+    names = register_functions(one, sc.accounts_of(one.status))
+    assert len(names) == 15 and "kpi_tweetcount" in names
+    assert "EqualTo(status_user_id,7)" in plan(spark.sql("select * from kpi_tweetcount(7)"))
+
+
 def test_top_words_are_cut_before_the_shuffle(spark, live):
     bots = spark.createDataFrame([(1,)], "userid bigint")
     posts = texts.topic_posts(live.status, fx.session(spark), bots)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flockscore.session import materialise, shared_dir
 from flockscore.sources import normalise as norm
-from flockscore.sources import sessions, tables
+from flockscore.sources import sessions, tables, versioned
 from flockscore.sources.tweets import (
     admit,
     message_kind,
@@ -233,3 +233,23 @@ def test_written_tables(spark, tmp_path):
     frame = spark.range(3)
     assert materialise(frame, str(tmp_path / "t")).count() == 3
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_scores_are_written_in_place(spark, tmp_path):
+    listed = challenge(spark, *[(u, 0.1) for u in range(200)], (7, 0.2), (None, 0.3))
+    path = str(tmp_path / "listed")
+    versioned.create_table(listed, path)
+    begun = versioned.read_table(spark, path)
+    before = set(begun.inputFiles())
+    new = spark.createDataFrame([(7, 0.9), (9999, 0.5)], "userid bigint, totalscore double")
+    assert versioned.write_back_stored(spark, path, new) == 1
+    after = versioned.read_table(spark, path)
+    want = [(u, 0.9 if u == 7 else 0.1) for u in range(200)] + [(7, 0.9), (None, 0.3)]
+    found = [(r.user_id, r.botscore) for r in after.collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert after.columns == listed.columns
+    # a reader that began before sees the first version; other folders keep their files
+    assert {r.botscore for r in begun.where("user_id = 7").collect()} == {0.1, 0.2}
+    changed = {f for f in after.inputFiles() if "/v1/" in f}
+    assert 1 <= len(changed) <= 2 and before & set(after.inputFiles()) > set()
+    assert versioned.write_back_stored(spark, path, new.limit(0)) == 1
