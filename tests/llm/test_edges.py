@@ -152,12 +152,15 @@ def test_no_vectors(spark):
 def test_pipeline_stages(spark, docs, labels, bench, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
-    for table in (docs, docs.limit(0)):
+    clashing = {c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in ("toxic_score", "kept", "Class_id", "leaks", "_k")}
+    for table in (docs.withColumns(clashing), docs.limit(0)):
         kept = table
         for _, stage in corpus_pipeline.STAGES[:-1]:
             kept = stage(spark, kept, str(tmp_path))
-            assert kept.columns == docs.columns
+            assert kept.columns == table.columns
             assert kept.count() <= table.count()
+        for r in kept.where("doc_id is not null").collect():
+            assert all(r[c] == f"{c} of {r['doc_id']}" for c in clashing if c in table.columns)
         mixed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
         assert {"doc_id", "size", "target", "taken"} <= set(mixed.columns)
         assert mixed.count() == kept.count()
