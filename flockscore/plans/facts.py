@@ -61,6 +61,19 @@ KINDS = {
     "KOSOURCEQUALIFICATION": ("post",),
 }
 
+# what is asked of each kind, and how the parts of an account's are put together
+COLUMNS = {
+    "profile": "n1 n2 n3 n4 n5 n6 n7 n8 n9 lo",
+    "post": "n1 n2 n3 s1 s2",
+    "author": "n1 n2 n3 n4",
+    "time": "gap",
+    "reply": "lo",
+    "lang": "n1 rows",
+    "own": "n1 rows",
+    "day": "most",
+}
+LAST = {"gap": F.min, "lo": F.min, "most": F.max}
+
 
 def fact(kind: str, **values: Column) -> Column:
     """One fact as a struct of ``FACTS`` without the account."""
@@ -233,32 +246,36 @@ def account_facts(facts: DataFrame) -> DataFrame:
     across = F.when(F.col("kind") == "time", F.col("lo") - F.lag("hi").over(by_hour))
     parts = _shortest_gaps(facts).withColumn("gap", F.least("gap", across))
 
-    def of(kind: str) -> Column:
+    def of(kind: str, columns: str) -> Column:
         own = F.col("kind") == kind
-        return F.when(F.count_if(own) > 0, F.struct(
-            *[F.sum(F.when(own, F.col(c))).alias(c) for c in COUNTS + SUMS],
-            F.max(F.when(own, F.col("most"))).alias("most"),
-            F.sum(F.when(own, F.col("rows"))).alias("rows"),
-            F.min(F.when(own, F.col("gap"))).alias("gap"),
-            F.min(F.when(own, F.col("lo"))).alias("lo"),
-        )).alias(kind)
+        parts = [
+            LAST.get(c, F.sum)(F.when(own, F.col(c))).alias(c) for c in columns.split()
+        ]
+        return F.when(F.count_if(own) > 0, F.struct(*parts)).alias(kind)
 
-    kinds = dict.fromkeys(k for kinds in KINDS.values() for k in kinds)
-    return parts.groupBy("userid").agg(*[of(k) for k in kinds])
+    return parts.groupBy("userid").agg(*[of(*x) for x in COLUMNS.items()])
 
 
 def indicator_rows(facts: DataFrame, names: dict[str, str], as_of: Column) -> DataFrame:
     """(kpiname, userid, botscore) out of ``account_facts``; ``names`` maps the names to
     give to the indicators of ``KINDS``. Accounts without facts have no row."""
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
-    p, posts, author = F.col("profile"), F.col("post"), F.col("author")
-    mean = lambda a, b: p[a] / F.nullif(p[b], F.lit(0))
+    mean = lambda k, a, b: F.col(k)[a] / F.nullif(F.col(k)[b], F.lit(0))
+    # columns of their own, since each is used more than once
+    means = {
+        "_age": calendar_age_days(F.timestamp_micros(F.col("profile.lo")), as_of),
+        "_name": mean("profile", "n1", "n2"),
+        "_desc": mean("profile", "n3", "n4"),
+        "_followers": mean("profile", "n6", "n7"),
+        "_friends": mean("profile", "n8", "n9"),
+        "_mentions": mean("post", "n2", "n1"),
+    }
+    posts, author = F.col("post"), F.col("author")
     profile = scored_profile(
-        age=calendar_age_days(F.timestamp_micros(p["lo"]), as_of),
-        name_len=mean("n1", "n2"), desc_len=mean("n3", "n4"), digit=p["n5"] > 0,
-        followers=mean("n6", "n7"), friends=mean("n8", "n9"),
+        age=F.col("_age"), name_len=F.col("_name"), desc_len=F.col("_desc"), digit=F.col("profile.n5") > 0,
+        followers=F.col("_followers"), friends=F.col("_friends"),
     )
-    mentions = posts["n2"] / F.nullif(posts["n1"], F.lit(0))
+    mentions = F.col("_mentions")
     score = {
         "PROFILEAGE": profile["age_score"],
         "NAMDESCLEN": profile["name_score"],
@@ -284,8 +301,7 @@ def indicator_rows(facts: DataFrame, names: dict[str, str], as_of: Column) -> Da
         )
         for name, of in names.items()
     ]
-    # each expression once a row, before rows are laid out
-    found = facts.select("userid", F.array(*rows).alias("_rows"))
+    found = facts.withColumns(means).select("userid", F.array(*rows).alias("_rows"))
     found = found.select("userid", F.inline(F.filter("_rows", lambda r: r["known"])))
     return found.select("kpiname", "userid", "botscore")
 
