@@ -68,7 +68,8 @@ def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], Any]) -> An
         model = pickle.dumps(fit([(text, y) for _, text, y in rows]))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([])  # no row, no task
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
