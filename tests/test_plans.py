@@ -162,3 +162,18 @@ def test_top_words_are_cut_before_the_shuffle(spark, live):
     text = plan(texts.term_frequencies(posts))
     assert text.count("WindowGroupLimit") == 2
     assert T0.year == 2024
+
+
+def test_messages_are_shuffled_before_they_get_their_texts(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(fx.messages(spark, SF).select("value"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    joins = re.findall(r"SortMergeJoin \[(\w+)#", text)
+    assert len(joins) == 3 and joins[0] == "doc_id"
+
+
+def test_keys_take_the_messages_apart_once(spark):
+    assert "from_json" not in plan(queries.QUERIES["normalise_keys"](spark, SF))
