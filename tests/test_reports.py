@@ -200,3 +200,30 @@ def test_term_frequencies(spark, bots):
         frame, max_words=1, normalise=lambda w: F.left(w, F.lit(3))
     )
     assert rows(stems) == [("#a", False, "kat", 6), ("#a", True, "der", 3)]
+
+
+@pytest.mark.parametrize("part", [3, 5, 8, 1_000])
+def test_copies_on_both_sides_of_a_border(spark, bots, part):
+    posts = status(spark, *[{"id": n // 5, "t": n // 5, "text": "ab" * (n // 5 % 3 + 1)} for n in range(40)])
+    got = texts.topic_text(posts, session(spark, "#a"), bots, part_chars=part).collect()
+    words = ["ab" * (n // 5 % 3 + 1) for n in sorted(range(40), key=lambda n: n // 5)]
+    found, begin = {}, 0
+    for word in words:
+        found.setdefault(begin // part, []).append(word)
+        begin += len(word) + 1
+    assert {r.part: r.text for r in got} == {k: " ".join(v) for k, v in found.items()}
+
+
+def test_no_text_is_shuffled_to_find_its_place(spark, bots):
+    posts = status(spark, {"id": 1, "text": "a"})
+    found = texts.topic_text(posts, session(spark, "#a"), bots)
+    top = found._jdf.queryExecution().executedPlan().initialPlan()
+    nodes, cells = [top], []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(n) for n in range(node.children().size())]
+        if node.nodeName() == "Exchange" and "lane" in node.outputPartitioning().toString():
+            cells.append(node.outputPartitioning().toString() + node.output().toString())
+    # but for equal texts on a border, which are dealt by all of their columns
+    cells = [c for c in cells if "created_at" not in c.split(")")[0]]
+    assert cells and not any("text#" in c for c in cells)
