@@ -247,3 +247,13 @@ def test_rolling_scores_equal_one_batch(spark, tmp_path):
     assert latest == scores(whole, "totalscore")
     # only stored facts, and the table of ids and times, have been read
     assert new.inputFiles() and all("/_facts/" in f or "/_seen/" in f for f in new.inputFiles())
+
+
+def test_a_committed_batch_keeps_its_lines_once(spark, tmp_path):
+    write(tmp_path / "in", "1.json", tweet(1, 9, 1), tweet(2, 8, 1))
+    run_ingest(spark, tmp_path)
+    out = tmp_path / "out"
+    assert ingest.read_table(spark, str(out), "status").count() == 2
+    assert list((out / "_arrivals").glob("batch_id=*")) == []
+    files = ingest.read_table(spark, str(out), "status").inputFiles()
+    assert files and all(".zstd." in f for f in files)
