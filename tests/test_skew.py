@@ -3,12 +3,14 @@
 import random
 
 import pytest
-from frames import at, scores, snapshots, status
+from frames import at, scores, snapshots, status, users
 from pyspark.sql import functions as F
 
 from flockscore import operators as op
 from flockscore.functions.joins import hot_keys, lookup_join, spread_join
 from flockscore.operators.activity import post_tiles
+from flockscore.operators.snapshots import with_author
+from flockscore.plans import facts as fc
 
 
 @pytest.mark.parametrize("n", [7, 19, 20, 23, 400, 1501])
@@ -80,6 +82,26 @@ def test_replies_to_a_hot_post(spark):
     assert got == expected
 
 
+def test_posts_recorded_together_do_not_multiply(spark):
+    langs = ["de", "und", "fr", None, "en"]
+    rows = [{"id": n, "u": 1, "t": 0, "lang": langs[n % 5]} for n in range(40)]
+    rows.append({"id": 90, "u": 2, "lang": "fr"})
+    # the snapshots of a moment agree but for a few
+    seen = [{"id": 1, "lang": "fr" if n < 5 else "de", "offset": 0 if n < 9 else None} for n in range(40)]
+    posts, people = status(spark, *rows), users(spark, *seen, {"id": 2})
+    joined = with_author(posts, people)
+    assert joined.count() == 40 * 3 + 1  # one row for each of three different snapshots
+    assert joined.agg(F.sum("n_snapshots")).first()[0] == 40 * 40 + 1
+
+    pairs = [(r, s) for r in rows[:40] for s in seen]
+    und = sum(r["lang"] == "und" for r, _ in pairs)
+    other = sum(r["lang"] not in ("und", s["lang"]) for r, s in pairs)
+    expected = (und * 0.2 + other) / len(pairs)
+    assert scores(op.kpi_langusertweets(posts, people)) == pytest.approx({1: expected, 2: 1.0})
+    kept = fc.author_facts(fc.local_frame([(posts, people)])).where("userid = 1").first()
+    assert (kept.n1, kept.n2, kept.n3, kept.n4) == (len(pairs), und, other, 0)
+
+
 @pytest.fixture
 def sides(spark):
     left = spark.range(3000).select(
