@@ -257,3 +257,24 @@ def test_a_committed_batch_keeps_its_lines_once(spark, tmp_path):
     assert list((out / "_arrivals").glob("batch_id=*")) == []
     files = ingest.read_table(spark, str(out), "status").inputFiles()
     assert files and all(".zstd." in f for f in files)
+
+
+def test_texts_are_stored_and_packed_without_a_shuffle(spark, tmp_path, monkeypatch):
+    dealt, frame = [], type(spark.range(0))
+    for name in ("repartition", "hint"):
+        real = getattr(frame, name)
+        told = lambda self, *a, real=real: dealt.append(self.columns) or real(self, *a)
+        monkeypatch.setattr(frame, name, told)
+    out, writers = str(tmp_path / "out"), "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    for n in range(2):
+        write(tmp_path / f"in{n}", "1.json", *[tweet(10 * n + i, 5 + i % 3, i) for i in range(6)])
+        ingest.store_batch(ingest.read_tweets(spark, str(tmp_path / f"in{n}")), n, out, session_id=3)
+    ingest.compact_tables(spark, out)
+    packed = ingest.read_table(spark, out, "status")
+    assert sorted(r.id for r in packed.collect()) == [*range(6), *range(10, 16)]
+    assert len(packed.where("status_text is not null").select("status_user_id").distinct().collect()) == 3
+    # one file for each account folder, and no row with a text was dealt anew
+    assert len([f for f in packed.inputFiles() if "_generations" in f]) <= 3
+    assert dealt and not any("status_text" in columns for columns in dealt)
+    assert spark.conf.get(writers) == before
