@@ -267,6 +267,7 @@ def test_texts_are_stored_and_packed_without_a_shuffle(spark, tmp_path, monkeypa
         monkeypatch.setattr(frame, name, told)
     out, writers = str(tmp_path / "out"), "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(writers)
+    monkeypatch.setattr(commits, "SMALL", 0)
     for n in range(2):
         write(tmp_path / f"in{n}", "1.json", *[tweet(10 * n + i, 5 + i % 3, i) for i in range(6)])
         ingest.store_batch(ingest.read_tweets(spark, str(tmp_path / f"in{n}")), n, out, session_id=3)
