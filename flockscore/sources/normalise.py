@@ -20,7 +20,7 @@ def _flag(value: Column) -> Column:
     return F.coalesce(value, F.lit(False)).cast("int")
 
 
-def _key(kind: str, *more: Column) -> Column:
+def _key(kind: str | Column, *more: Column) -> Column:
     """Surrogate key of a part of a status, the same on every attempt."""
     return F.xxhash64(*KEY, F.lit(kind), *more)
 
@@ -187,6 +187,14 @@ def _children(t: DataFrame, values: Column, kind: str, fields) -> DataFrame:
     )
 
 
+def _listed(t: DataFrame, parts: dict[str, Column], name: str) -> DataFrame:
+    """One row per element of several arrays of one type, which ``kind`` tells apart. A
+    union would read the messages, and take them apart, once for each."""
+    arrays = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in parts.items()])
+    rows = t.select(*KEY, F.inline(arrays))
+    return rows.select(*KEY, "kind", F.posexplode("v").alias("pos", name))
+
+
 def _link_fields(e: Column) -> list[Column]:
     return [
         e["display_url"].alias("display_url"),
@@ -199,18 +207,22 @@ def _link_fields(e: Column) -> list[Column]:
 
 
 def urls(t: DataFrame) -> DataFrame:
-    """Links in posts, in profiles and in profile descriptions."""
-    about = F.col("user.entities.description.urls")
+    """Links in posts, in profiles and in profile descriptions, in one pass."""
     parts = {
         "url": F.col("entities.urls"),
         "user_url": _profile_urls(),
-        "description_url": about,
+        "description_url": F.col("user.entities.description.urls"),
     }
-    tables = [
-        _children(t, values, kind, _link_fields).withColumn("kind", F.lit(kind))
-        for kind, values in parts.items()
-    ]
-    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+    rows = _listed(t, parts, "e")
+    kind = F.col("kind")
+    return rows.select(
+        _key(kind, F.col("pos")).alias("id"),
+        _key(kind).alias("entity_id"),
+        *KEY,
+        "pos",
+        *_link_fields(F.col("e")),
+        "kind",
+    )
 
 
 def hashtags(t: DataFrame) -> DataFrame:
@@ -277,24 +289,21 @@ def places(t: DataFrame) -> DataFrame:
 
 def geolocations(t: DataFrame) -> DataFrame:
     """Corners of the first polygon of a place, longitude first on the wire."""
-    corners = []
-    for field, kind in (("bounding_box", "bbox"), ("geometry", "geo")):
-        polygon = F.get(F.col(f"place.{field}.coordinates"), F.lit(0))
-        rows = t.select(*KEY, F.posexplode(polygon).alias("pos", "corner"))
-        place = _key("place")
-        nothing = F.lit(None).cast("bigint")
-        corners.append(
-            rows.select(
-                _key(kind, F.col("pos")).alias("id"),
-                *KEY,
-                "pos",
-                F.col("corner")[1].alias("latitude"),
-                F.col("corner")[0].alias("longitude"),
-                (place if kind == "bbox" else nothing).alias("bboxcoord_place_id"),
-                (place if kind == "geo" else nothing).alias("geocoord_place_id"),
-            )
-        )
-    return corners[0].unionByName(corners[1])
+    fields = {"bbox": "bounding_box", "geo": "geometry"}
+    parts = {
+        kind: F.get(F.col(f"place.{field}.coordinates"), F.lit(0))
+        for kind, field in fields.items()
+    }
+    kind, corner, place = F.col("kind"), F.col("corner"), _key("place")
+    return _listed(t, parts, "corner").select(
+        _key(kind, F.col("pos")).alias("id"),
+        *KEY,
+        "pos",
+        corner[1].alias("latitude"),
+        corner[0].alias("longitude"),
+        F.when(kind == "bbox", place).alias("bboxcoord_place_id"),
+        F.when(kind == "geo", place).alias("geocoord_place_id"),
+    )
 
 
 TABLES = {

@@ -111,6 +111,12 @@ def test_child_rows_point_to_their_status(tweets):
     assert {r.geocoord_place_id for r in corners} == {None}
 
 
+@pytest.mark.parametrize("table", ["url", "geolocation"])
+def test_messages_are_taken_apart_once(tweets, table):
+    plan = tables_of(tweets)[table]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+
 def test_user_links(tweets):
     kinds = [r.kind for r in tables_of(tweets)["url"].collect()]
     # the empty profile link is left out
