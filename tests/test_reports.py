@@ -1,5 +1,8 @@
 """Reports on topics, days, links, words and scores."""
 
+import random
+import re
+
 import pytest
 from frames import at, challenge, session, source_q, status, users
 from pyspark.sql import functions as F
@@ -202,6 +205,33 @@ def test_term_frequencies(spark, bots):
     assert rows(stems) == [("#a", False, "kat", 6), ("#a", True, "der", 3)]
 
 
+def test_strings_are_counted_before_they_become_rows(spark):
+    random.seed(5)
+    ends = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "  ", "\x1c", "\u00a0", ""]
+    made = [
+        "".join(random.choice(["hund", "Äpfel", "katze", "ab"]) + random.choice(ends) for _ in range(random.randint(0, 30)))
+        for _ in range(60)
+    ]
+    made += ["", " ", " hund", None]
+    data = [(random.choice([True, False, None]), text) for text in made]
+    frame = spark.createDataFrame(data, "is_bot boolean, status_text string")
+    found = texts.term_frequencies(frame, ["is_bot"], own_stopwords=[], min_freq=1, max_words=10_000)
+    expected = {}
+    for key, text in data:
+        for word in re.split("[ \t\r\n\x0b\f]+", (text or "").lower()):
+            if len(word) >= 3:
+                expected[key, word] = expected.get((key, word), 0) + 1
+    assert {(r.is_bot, r.word): r.freq for r in found.collect()} == expected
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    # empty strings too, where they may get letters
+    stems = texts.term_frequencies(
+        frame, ["is_bot"], own_stopwords=[], min_freq=1, max_words=10_000,
+        normalise=lambda w: F.when(w == "", "none").otherwise(w),
+    )
+    empty = sum(re.split("[ \t\r\n\x0b\f]+", text).count("") for _, text in data if text is not None)
+    assert sum(r.freq for r in stems.collect() if r.word == "none") == empty
+
+
 @pytest.mark.parametrize("part", [3, 5, 8, 1_000])
 def test_copies_on_both_sides_of_a_border(spark, bots, part):
     posts = status(spark, *[{"id": n // 5, "t": n // 5, "text": "ab" * (n // 5 % 3 + 1)} for n in range(40)])
