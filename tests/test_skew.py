@@ -102,6 +102,29 @@ def test_posts_recorded_together_do_not_multiply(spark):
     assert (kept.n1, kept.n2, kept.n3, kept.n4) == (len(pairs), und, other, 0)
 
 
+def test_times_apart_from_facts_give_the_same(spark):
+    random.seed(3)
+    rows = [
+        {
+            "id": n // 2, "u": n // 2 % 23, "lang": ["de", "fr", "und", None][n // 2 % 4],
+            "created_at": at((n // 2) ** 2 * 7 / 2 % 90_000), "mentions": n % 3, "retweet": n // 2 % 2,
+        }
+        for n in range(600)
+    ]
+    rows.append({"id": 900, "u": 77, "created_at": None, "recorded_at": at(0)})
+    rows.append({"id": 901, "u": 78})
+    posts = fc.single_posts([status(spark, *rows)])
+    kinds = ["post", "day", "lang", "own"]
+    expected = fc.account_facts(fc.post_facts(posts, [*kinds, "time"]))
+    few = fc.post_facts(posts, kinds)
+    got = fc.account_facts(few, fc.gaps_of(posts))
+    assert got.columns == expected.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    # no column that is null in all facts is added up
+    assert "sum(n9" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert few.columns == fc.merged(few).columns
+
+
 @pytest.fixture
 def sides(spark):
     left = spark.range(3000).select(
