@@ -257,3 +257,23 @@ def test_no_text_is_shuffled_to_find_its_place(spark, bots):
     # but for equal texts on a border, which are dealt by all of their columns
     cells = [c for c in cells if "created_at" not in c.split(")")[0]]
     assert cells and not any("text#" in c for c in cells)
+
+
+def test_texts_are_shuffled_once_and_packed(spark, bots):
+    """Neither topics nor bots nor listed accounts make texts move before their parts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        posts = status(spark, *[{"id": n, "u": 1 + n % 2, "text": "Text %d" % n} for n in range(9)])
+        listed = challenge(spark, (1, 0.9), (2, None), (2, 0.2))
+        for found in (texts.topic_text(posts, session(spark, "#a"), bots), texts.challenge_text(posts, listed)):
+            nodes, moved = [found._jdf.queryExecution().executedPlan().initialPlan()], []
+            while nodes:
+                node = nodes.pop()
+                nodes += [node.children().apply(n) for n in range(node.children().size())]
+                if node.nodeName() == "Exchange" and "text#" in node.output().toString():
+                    moved.append(node.output().toString())
+            assert moved and all("bytes#" in columns for columns in moved if "created_at" not in columns)
+            assert not any("status_text#" in columns for columns in moved)
+            assert sum(r.text.count("text") for r in found.collect()) in (9, 13)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

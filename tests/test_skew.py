@@ -7,7 +7,7 @@ from frames import at, scores, snapshots, status, users
 from pyspark.sql import functions as F
 
 from flockscore import operators as op
-from flockscore.functions.joins import hot_keys, lookup_join, spread_join
+from flockscore.functions.joins import hot_keys, lookup_join, spread_join, text_join
 from flockscore.operators.activity import post_tiles
 from flockscore.operators.snapshots import with_author
 from flockscore.plans import facts as fc
@@ -169,3 +169,19 @@ def test_lookup_runs_nothing_while_planned(sides):
     assert sorted(map(str, got.collect())) == sorted(
         map(str, left.join(right, "k", "left").collect())
     )
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_text_join_equals_a_lookup(spark, how):
+    """Keys that repeat on either side, are null, missing, or of another type; null values."""
+    facts = spark.createDataFrame(
+        [(n, None if n % 9 == 0 else n % 40, f"text {n}") for n in range(200)], "n int, k int, status_text string"
+    )
+    rows = [(k, k % 3 == 0 if k % 5 else None, "x" * (k % 4)) for k in [*range(30), 7, 7, 60]]
+    lookup = spark.createDataFrame([*rows, (None, True, "y")], "k bigint, bot boolean, name string")
+    for kept in (lookup, lookup.where("k is null"), lookup.where("false")):
+        want = lookup_join(facts, kept, "k", how=how)
+        for most in (0, 1_000):
+            got = text_join(facts, kept, "k", how=how, most=most)
+            assert got.columns == want.columns
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
