@@ -3,6 +3,7 @@
 import copy
 import json
 import re
+import time
 from datetime import datetime
 
 from frames import at, challenge, scores, snapshots, source_q, status
@@ -10,6 +11,7 @@ from test_sources import TWEET
 
 from flockscore.plans import score as sc
 from flockscore.plans.registry import PERUSER, Inputs
+from flockscore.sources.tweets import tweets_from_values
 from flockscore.streaming import commits, ingest, rescore, rolling
 
 AS_OF = datetime(2024, 1, 31)
@@ -279,3 +281,50 @@ def test_texts_are_stored_and_packed_without_a_shuffle(spark, tmp_path, monkeypa
     assert len([f for f in packed.inputFiles() if "_generations" in f]) <= 3
     assert dealt and not any("status_text" in columns for columns in dealt)
     assert spark.conf.get(writers) == before
+
+
+def test_posts_sent_again_are_stored_once(spark, tmp_path):
+    """Within a batch and between batches, after a batch that broke off, and until the ids
+    are older than asked for; other lines stay."""
+    out = str(tmp_path / "out")
+
+    def send(n, *lines, within="2 days"):
+        write(tmp_path / f"in{n}", "1.json", *lines)
+        rows = ingest.read_tweets(spark, str(tmp_path / f"in{n}"))
+        ingest.store_batch(rows, n, out, session_id=3, once_within=within)
+
+    def stored():
+        rows = ingest.read_table(spark, out, "status").select("id", commits.BATCH).collect()
+        report = ingest.read_table(spark, out, "_report").collect()
+        return sorted(map(tuple, rows)), sorted((r.batch_id, r.kind, r.anz) for r in report)
+
+    gone = json.dumps({"delete": {"status": {"id": 1, "user_id": 9}}})
+    send(0, tweet(1, 9, 1), tweet(2, 8, 1), tweet(1, 9, 1), gone, gone)
+    assert stored() == ([(1, 0), (2, 0)], [(0, "delete", 2), (0, "status", 2)])
+    # a batch that broke off after its ids were written, and its repetition
+    write(tmp_path / "in1", "1.json", tweet(2, 8, 1), tweet(3, 8, 1), gone)
+    arrived = ingest.arrive(ingest.read_tweets(spark, str(tmp_path / "in1")), 1, out)
+    ingest.sent_once(arrived, 1, out, "2 days")
+    send(1, tweet(2, 8, 1), tweet(3, 8, 1), gone)
+    assert stored() == (
+        [(1, 0), (2, 0), (3, 1)],
+        [(0, "delete", 2), (0, "status", 2), (1, "delete", 1), (1, "status", 1)],
+    )
+    send(2, tweet(3, 8, 1), tweet(1, 9, 1))  # nothing new
+    assert [r for r in stored()[1] if r[0] == 2] == []
+    time.sleep(1.1)
+    send(3, tweet(1, 9, 1), tweet(4, 9, 1), within="1 second")
+    assert [r for r in stored()[0] if r[1] == 3] == [(1, 3), (4, 3)]
+    assert commits.folders(spark, f"{out}/_ids") == ["batch_id=3"]  # older ids are gone
+    assert not commits.folders(spark, f"{out}/_first")
+
+
+def test_many_rows_of_many_files_are_told_apart(spark, tmp_path):
+    """More rows than a bitmap holds, in several files, each id twice."""
+    out, half = str(tmp_path / "out"), spark.range(40_000)
+    lines = half.union(half).selectExpr("to_json(struct(id, named_struct('id', id % 7) as user)) as value")
+    arrived = ingest.arrive(tweets_from_values(lines.coalesce(2)), 0, out)
+    kept = ingest.sent_once(arrived, 0, out, "1 day")
+    assert kept.count() == kept.select("id").distinct().count() == 40_000
+    top = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in top  # whole lines do not move
