@@ -277,3 +277,21 @@ def test_texts_are_shuffled_once_and_packed(spark, bots):
             assert sum(r.text.count("text") for r in found.collect()) in (9, 13)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_words_of_listed_accounts_shuffle_no_texts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        posts = status(spark, {"u": 1, "text": "One two"}, {"u": 2, "text": "two"}, {"u": 3, "text": "three"})
+        listed = challenge(spark, (1, 0.9), (2, 0.2), (2, 0.9))
+        found = texts.term_frequencies(texts.challenge_posts(posts, listed), ["is_bot"], own_stopwords=[], min_freq=1)
+        nodes, moved = [found._jdf.queryExecution().executedPlan().initialPlan()], []
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(n) for n in range(node.children().size())]
+            if node.nodeName() == "Exchange":
+                moved.append(node.output().toString())
+        assert moved and not any("status_text#" in columns for columns in moved)
+        assert sorted(map(tuple, found.collect())) == [(False, "two", 1), (True, "one", 1), (True, "two", 2)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
