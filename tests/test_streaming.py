@@ -328,3 +328,15 @@ def test_many_rows_of_many_files_are_told_apart(spark, tmp_path):
     assert kept.count() == kept.select("id").distinct().count() == 40_000
     top = kept._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in top  # whole lines do not move
+
+
+def test_lines_of_earlier_batches_can_go(spark, tmp_path):
+    """Lines that the source removes once they are stored; the session is resumed after."""
+    for n in range(3):
+        write(tmp_path / "in", f"{n}.json", tweet(n, 9, n))
+        ingest.ingest_stream(
+            spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c"), session_id=3, cleanSource="delete"
+        ).awaitTermination()
+    stored = ingest.read_table(spark, str(tmp_path / "out"), "status")
+    assert sorted(r.id for r in stored.collect()) == [0, 1, 2]
+    assert [p.name for p in (tmp_path / "in").glob("*.json")] == ["2.json"]
